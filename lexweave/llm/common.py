@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +41,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for each application, through Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_lexweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    if (root / "lexweave").is_dir():  # else it was imported from an archive that Spark already sends
+        with tempfile.TemporaryDirectory() as folder:
+            shutil.copytree(root / "lexweave", f"{folder}/code/lexweave", ignore=shutil.ignore_patterns("__pycache__"))
+            context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/lexweave", "zip", f"{folder}/code"))
+    context._lexweave_shipped = True
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with batches bounded in bytes; function turns an iterator of batches into another."""
+    shipped(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 

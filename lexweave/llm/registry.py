@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from lexweave.llm.op9 import SQL as OP9_SQL
-from lexweave.llm.op9 import op9_decontamination
+from lexweave.llm import op1, op4, op5, op7, op8, op9, op10
 
-QUERIES = {"op9_decontamination": op9_decontamination}
-ORACLE_SQL = {"op9_decontamination": OP9_SQL}
+QUERIES = {
+    "op1_quality_classifier": op1.op1_quality_classifier,
+    "op4_quality_rules": op4.op4_quality_rules,
+    "op5_toxicity": op5.op5_toxicity,
+    "op7_chat_format": op7.op7_chat_format,
+    "op8_html_text": op8.op8_html_text,
+    "op9_decontamination": op9.op9_decontamination,
+    "op10_ngram_jaccard_join": op10.op10_ngram_jaccard_join,
+}
+
+ORACLE_SQL = {
+    "op4_quality_rules": op4.SQL,
+    "op7_chat_format": op7.SQL,
+    "op9_decontamination": op9.SQL,
+    "op10_ngram_jaccard_join": op10.SQL,
+}
