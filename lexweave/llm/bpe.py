@@ -141,9 +141,9 @@ class Codec:
         if kind == "space" or kind_of(text[cut - 1]) != kind:
             return None
         before = after = 0
-        while before < 64 * REACH and cut - before - 1 >= start and kind_of(text[cut - before - 1]) == kind:
+        while before < 8 * REACH and cut - before - 1 >= start and kind_of(text[cut - before - 1]) == kind:
             before += 1
-        while after < 64 * REACH and cut + after < end and kind_of(text[cut + after]) == kind:
+        while after < 8 * REACH and cut + after < end and kind_of(text[cut + after]) == kind:
             after += 1
         # a side that ends inside the run may have its first or last character taken by its neighbour: stay off it
         room_left, room_right = len(text[cut - before + 2 : cut].encode()), len(text[cut : cut + after - 2].encode())
