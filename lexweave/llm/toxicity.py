@@ -24,20 +24,21 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import map_batches
 
-#: Hashed features.
-SLOTS = 1 << 18
-
 #: Labelled documents that a fit learns from, at most, half of them of each class where there are as many: the fit
 #: runs on the driver, which holds this many texts.
-MAX_TRAINING = 12_000
+MAX_TRAINING = 4_000
 
 #: Code points of those texts altogether, at most, so that long texts cannot fill the driver.
-MAX_TRAINING_CHARS = 30_000_000
+MAX_TRAINING_CHARS = 20_000_000
+
+EPOCHS, RATE = 60, 0.15
 
-EPOCHS, RATE, DECAY = 40, 0.08, 3e-5
+#: L1 penalty on the weights for MAX_TRAINING documents, larger for fewer: features that do not tell documents apart get
+#: weight 0.
+PENALTY = 1e-4
 
 #: Log odds of a sentence without features.
-BIAS = -6.0
+BIAS = -11.0
 
 #: Words whose weight a worker remembers, at most.
 REMEMBERED = 400_000
@@ -50,29 +51,29 @@ WORD = re.compile(r"\w+")
 
 
 def features(word: str) -> list[int]:
-    """Slots of a lower-case word: itself, its beginnings of 4 to 6 characters and its end of 4."""
+    """Hashes (32 bits) of the features of a lower-case word: itself, its beginnings of 4 to 6 characters and its end of 4."""
     parts = {"=" + word, "<" + word[:4], "<" + word[:5], "<" + word[:6], ">" + word[-4:]} if len(word) > 3 else {"=" + word}
-    return [zlib.crc32(part.encode("utf-8", "surrogatepass")) % SLOTS for part in sorted(parts)]
+    return [zlib.crc32(part.encode("utf-8", "surrogatepass")) for part in sorted(parts)]
 
 
 @dataclass
 class NoisyOr:
-    """Weights of a fitted model; empty: there was nothing to learn from."""
+    """Weights other than 0 of a fitted model, by the hash of the feature; None: there was nothing to learn from."""
 
-    weights: np.ndarray | None
+    weights: dict[int, float] | None
     bias: float = BIAS
 
     def scorer(self):
         """A function from a text to (document score, offending [(start, end, score)]), with a memory for words."""
         if self.weights is None:
             return lambda text: (0.0, [])
-        weights = self.weights
+        weight = self.weights.get
 
         class Memory(dict):
             def __missing__(self, word: str) -> float:
                 if len(self) >= REMEMBERED:
                     self.clear()
-                value = self[word] = float(weights[features(word)].sum())
+                value = self[word] = sum(weight(f, 0.0) for f in features(word))
                 return value
 
         memory, bias = Memory(), self.bias
@@ -124,8 +125,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_TR
     return [(text, label) for _, text, label in sorted(out, key=lambda r: (r[0], r[1]))]
 
 
-def fit(sample: list[tuple[str, int]], *, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> NoisyOr:
-    """Gradient ascent (Adam) on the noisy-or likelihood of the documents' labels."""
+def fit(sample: list[tuple[str, int]], *, epochs: int = EPOCHS, rate: float = RATE, penalty: float = PENALTY) -> NoisyOr:
+    """Proximal gradient ascent (Adam steps, then soft thresholding) on the noisy-or likelihood of the documents' labels."""
     y = np.array([label for _, label in sample], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return NoisyOr(None)
@@ -143,13 +144,14 @@ def fit(sample: list[tuple[str, int]], *, epochs: int = EPOCHS, rate: float = RA
                     slots += memory[word]
                 ends.append(len(slots))
                 bag.append(i)
-    used, column = np.unique(np.array(slots, dtype=np.int32), return_inverse=True)
+    used, column = np.unique(np.array(slots, dtype=np.uint32), return_inverse=True)
     del slots, memory
     column = column.astype(np.int32)
     starts = np.array([0, *ends[:-1]])
     row = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff([0, *ends]))
     bag_of = np.array(bag)
     w, bias = np.zeros(len(used)), BIAS
+    penalty *= max(1.0, (MAX_TRAINING / len(y)) ** 0.5)
     m1, m2, b1, b2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     class_weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for t in range(1, epochs + 1):
@@ -160,20 +162,21 @@ def fit(sample: list[tuple[str, int]], *, epochs: int = EPOCHS, rate: float = RA
         whole = np.clip(-np.expm1(clean), 1e-9, 1.0)
         # d log-likelihood / dz: label 1: p (1 - P) / P; label 0: -p
         g = np.where(y[bag_of] == 1, p * (1 - whole[bag_of]) / whole[bag_of], -p) * class_weight[bag_of] / len(y)
-        grad = np.bincount(column, g[row], len(used)) - decay * w
+        grad = np.bincount(column, g[row], len(used))
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        w += rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+        step = rate / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-4)
+        w += step * m1 / (1 - 0.9**t)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         gb = g.sum()
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb**2
         bias += rate * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros(SLOTS)
-    weights[used] = w
-    return NoisyOr(weights, float(bias))
+    kept = np.flatnonzero(w)
+    return NoisyOr(dict(zip(used[kept].tolist(), w[kept].tolist())), float(bias))
 
 
 def score(documents: DataFrame, model: NoisyOr) -> DataFrame:
     """doc_id, score and offending: array of (start, end, score), the sentences that offend, in code points."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # SLOTS weights: 2 MB, whatever the input
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # no more than the features of the training sample
 
     def run(batches):
         of = shared.value.scorer()
