@@ -40,7 +40,7 @@ def term_tokens(words_of: DataFrame, term: str, analyzer: Analyzer, *, window: i
     """Every token whose lower-case text or lemma holds the first letters of the term's first lemma (all tokens if it has
     none), with its context."""
     part = pattern_of(words_of, term, analyzer)[0].split(" ")[0][:LOOKED_FOR]
-    rows = words_of.select("doc_id", "tokens", F.posexplode("tokens").alias("tok_idx", "t"))
+    rows = words_of.select("doc_id", "tokens", F.posexplode_outer("tokens").alias("tok_idx", "t")).where("t is not null")
     like = F.lower("t.text").contains(part) | F.lower(F.coalesce("t.lemma", F.lit(""))).contains(part)
     return rows.where(like).select("doc_id", "tok_idx", F.col("t.text").alias("text"), F.col("t.lemma").alias("lemma"), F.col("t.pos").alias("pos"), context(F.col("tokens"), F.col("tok_idx"), F.col("tok_idx"), window).alias("context"))
 

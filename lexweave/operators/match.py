@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.operators.words import unnested
+
 #: Patterns that are broadcast (some 100 bytes each), and first words that are tested before k-grams are built.
 MAX_BROADCAST, MAX_FIRST_WORDS = 1_000_000, 5_000
 
@@ -55,7 +57,7 @@ def matches(words_of: DataFrame, patterns: DataFrame, *carry: str, allow_punct_b
         if any(" " in w or not w for w in first_words):
             first_words = None
     grams = F.concat(*(_grams(r["k"], allow_punct_between, first_words) for r in sorted(lengths, key=lambda r: r["k"])))
-    found = words_of.select(*carry, grams.alias("grams")).select(*carry, F.explode("grams").alias("g")).select(*carry, "g.*")
+    found = unnested(words_of, grams, "g", *carry).select(*carry, "g.*")
     if disallow_hyphen_adjacent_for_unigrams:
         found = found.where(~F.col("hyphen"))
     side = F.broadcast(distinct) if size <= max_broadcast else distinct

@@ -14,6 +14,12 @@ def blocks(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "segment", F.posexplode(F.split("text", "\n")).alias("block_id", "text"))
 
 
+def unnested(df: DataFrame, array: str | Column, name: str, *carry: str | Column) -> DataFrame:
+    """carry and each element of an array that has no null elements. The outer form: for the plain one the optimizer adds
+    a filter on the array's size below, which would compute a derived array again."""
+    return df.select(*carry, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def analyzed(documents: DataFrame, analyzer: Analyzer, *keys: str) -> DataFrame:
     """keys (doc_id and segment if none are named), norm (normalised text), pieces, tokens and words of each text.
 
@@ -52,7 +58,7 @@ def token_table(documents: DataFrame, analyzer: Analyzer | None = None, *keys: s
     with an analyzer, pos, lemma and has_inner_hyphen. Offsets are running sums within a document: one shuffle by key."""
     keys = keys or ("doc_id", "segment")
     norm = documents.select(*keys, normalize_tokens(F.coalesce("text", F.lit(""))).alias("norm"))
-    exploded = norm.select(*keys, F.posexplode(F.regexp_extract_all("norm", F.lit(PIECE), 0)).alias("at", "text"))
+    exploded = norm.select(*keys, F.posexplode_outer(F.regexp_extract_all("norm", F.lit(PIECE), 0)).alias("at", "text")).where("text is not null")
     order = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_token = F.col("text").rlike(r"\S")
     placed = exploded.withColumn("end", F.sum(F.char_length("text")).over(order).cast("int")).withColumn("tok_idx", (F.sum(is_token.cast("int")).over(order) - 1).cast("int"))

@@ -72,7 +72,7 @@ def tokens_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = words_of(spark, sf_dir).select("segment", F.explode("tokens").alias("t"))
+    tokens = W.unnested(words_of(spark, sf_dir), "tokens", "t", "segment")
     inner = F.col("t.text").rlike("[-‑–—−]")
     return tokens.groupBy("segment", F.col("t.pos").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.count("t.lemma").alias("n_words"), F.count_if(inner).alias("n_inner_hyphen"))
 
@@ -82,12 +82,12 @@ def pos_filter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hyphen_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = words_of(spark, sf_dir).select("doc_id", F.explode("words").alias("w")).select("doc_id", "w.*")
+    words = W.unnested(words_of(spark, sf_dir), "words", "w", "doc_id").select("doc_id", "w.*")
     return words.where("hyph_left or hyph_right or inner_hyphen").select("doc_id", F.col("tok_idx").cast("int").alias("tok_idx"), "lemma", "hyph_left", "hyph_right", "inner_hyphen")
 
 
 def lemma_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = words_of(spark, sf_dir).select("segment", F.explode("tokens").alias("t"))
+    tokens = W.unnested(words_of(spark, sf_dir), "tokens", "t", "segment")
     raw = N.fold_yo(F.lower("t.text"))
     return tokens.where(raw.isin(*ANALYZER.replacements) & F.col("t.lemma").isNotNull()).groupBy("segment", raw.alias("raw"), F.col("t.lemma").alias("lemma")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -256,7 +256,7 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hyphen_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lone hyphens, by document: what makes a neighbour of a word a hyphen."""
-    tokens = words_of(spark, sf_dir).select("doc_id", F.explode("tokens").alias("t"))
+    tokens = W.unnested(words_of(spark, sf_dir), "tokens", "t", "doc_id")
     return tokens.where(is_hyphen(F.col("t.text"), F.col("t.pos"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
