@@ -46,6 +46,10 @@ FILTER_BITS = 1 << 26
 #: Words whose hash a worker remembers, at most.
 REMEMBERED = 500_000
 
+#: Slots of the counts of shingles, documents of a task in which a slot is worth telling, and of all tasks from which its
+#: shingles are common. These only choose which tokens the parts leave out; any choice gives the same links.
+SLOT_BITS, TOLD, COMMON = 24, 4, 16
+
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -92,29 +96,32 @@ class Parts:
             self.tops.append(max(low, low * self.widen // 100))
         return int(np.searchsorted(self.tops, n))
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
+    def of(self, hashes: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
         """Signatures (64 bits) of the parts of a set, for its own range of sizes and, if a larger partner may be there,
-        the next. Two sets that link, and are not equal, have a signature in common."""
+        the next. Two sets that link, and are not equal, have a signature in common. Only the rare tokens are dealt, if
+        they are given: two sets differ in no more of them than of all."""
         n = len(hashes)
+        dealt = hashes if rare is None else rare
         if not n:
             return np.empty(0, np.uint64)
         own = self._range(n)
-        found = [self._dealt(hashes, own)]
+        found = [self._dealt(dealt, own)]
         if n * 100 // self.percent > self.tops[own]:
             self._range(self.tops[own] + 1)
-            found.append(self._dealt(hashes, own + 1))
+            found.append(self._dealt(dealt, own + 1))
         return np.concatenate(found)
 
     def _dealt(self, hashes: np.ndarray, at: int) -> np.ndarray:
         differ = 2 * self.tops[at] * (100 - self.percent) // (100 + self.percent)
         if not differ:
             return np.empty(0, np.uint64)  # only equal sets link here
-        # some parts more than that, so that a few empty ones cannot be all that two sets share
-        k = differ + 2 + differ // 16
+        # more parts than that, so that empty ones are hardly ever all that two sets share: parts have some
+        # (100 + p) / (2 (100 - p)) tokens or fewer, and at low similarities a part in ten may be empty
+        k = differ + 2 + differ // (4 if self.percent < 88 else 16)
         part = ((hashes >> _S32) * np.uint64(k)) >> _S32
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
         label = (part[starts] + np.uint64(at << 40)) * _P1
-        found = mixed(np.add.reduceat(mixed(hashes), starts) + label)
+        found = mixed(np.add.reduceat(mixed(hashes), starts) + label) if len(part) else np.empty(0, np.uint64)
         if k - len(starts) >= k - differ:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), part[starts], assume_unique=False)
             found = np.concatenate([found, mixed((empty + np.uint64(at << 40)) * _P1)])
@@ -125,18 +132,55 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def signatures(documents: DataFrame, *, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and the signatures of its parts."""
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def common_shingles(documents: DataFrame, *, size: int) -> np.ndarray:
+    """A flag for each slot of shingle hashes that many different texts share (2 MB as bits, whatever the input): each task
+    counts its texts, copies once, and tells the slots with several; only sums reach the driver, as bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, seen = WordHashes(), np.zeros(1 << SLOT_BITS, np.uint16), set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                own = shingles(text, size, hashes)
+                key = xxhash.xxh3_64_intdigest(own.tobytes())
+                if key in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
+                slots = slots_of(own)
+                counts[slots] += counts[slots] < 60_000
+        told = np.flatnonzero(counts >= TOLD)
+        yield pa.RecordBatch.from_arrays([pa.array(told, pa.int64()), pa.array(counts[told], pa.int64())], names=["slot", "n"])
+
+    told = map_batches(documents.select("text"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    at = F.col("slot") + 1
+    bits = told.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    flags = np.zeros(1 << SLOT_BITS, bool)
+    for row in bits.collect():  # at most 2 ** SLOT_BITS / 32768 rows of 4 KB
+        start = (row["bucket"] - 1) * 32768
+        flags[start : start + 32768] = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
+    return flags
+
+
+def signatures(documents: DataFrame, *, size: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, and the signatures of its parts, without the common shingles if these are
+    given."""
+    shared = None if common is None else documents.sparkSession.sparkContext.broadcast(np.packbits(common).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts = WordHashes(), Parts(percent)
+        flags = None if shared is None else np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
             n, digests, found = [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, size, hashes)
                 n.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                found.append(parts.of(own).view(np.int64))
+                found.append(parts.of(own, None if flags is None else own[~flags[slots_of(own)]]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "parts"])
 
@@ -257,13 +301,19 @@ def hot_links(sized: DataFrame, hot: DataFrame, percent: int, run_tokens: int) -
     return first.unionByName(joined_units(asked.unionByName(against), percent))
 
 
-def link_documents(documents: DataFrame, *, size: int, percent: int, run_tokens: int = RUN_TOKENS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: documents link when 100 times the common shingles are at least
+def link_documents(documents: DataFrame, *, size: int, percent: int, skip_common: bool = False, run_tokens: int = RUN_TOKENS) -> DataFrame:
+    """skip_common: leave shingles that many texts share out of the parts. The links are the same; at low similarities,
+    where parts have few tokens, shared passages would else put unrelated documents in one block. Costs a pass.
+
+    doc_id, n_shingles and component_id of every row: documents link when 100 times the common shingles are at least
     `percent` times all their shingles; component_id is the smallest doc_id reachable by links."""
-    rows = written(signatures(documents, size=size, percent=percent), "signatures")
+    common = common_shingles(documents, size=size) if skip_common else None
+    rows = written(signatures(documents, size=size, percent=percent, common=common), "signatures")
     ids = rows.where("doc_id is not null and digest is not null")
-    classes = written(ids.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("rep"), F.first("parts").alias("parts")), "classes")
-    parts = classes.select("rep", F.explode("parts").alias("part"))
+    # the parts go into one shuffle only: they are most of what is kept of a text here
+    classes = written(ids.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("rep")), "classes")
+    of_class = ids.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("rep"), F.first("parts").alias("parts"))
+    parts = of_class.select("rep", F.explode("parts").alias("part"))
     least = F.min("rep").over(Window.partitionBy("part"))
     edges = parts.select(F.col("rep").alias("a"), least.alias("b")).where("a <> b").distinct()
     stars = components(edges)
@@ -287,13 +337,13 @@ def with_repeated(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(roots, F.col("component") == F.col("node"), "left").select("digest", F.coalesce("root", "component").alias("component"))
 
 
-def keep_one(documents: DataFrame, *, size: int, percent: int) -> DataFrame:
+def keep_one(documents: DataFrame, *, size: int, percent: int, skip_common: bool = False) -> DataFrame:
     """The rows of documents but for all documents of each component other than the one with the smallest id, and for
     repeated rows of that one. Columns stay.
 
     Only documents that the id bitmap cannot clear are shuffled: those that go, those with a repeated id, and a few more.
     """
-    found = link_documents(documents, size=size, percent=percent).where("doc_id is not null and n_shingles > 0").select("doc_id", "component_id")
+    found = link_documents(documents, size=size, percent=percent, skip_common=skip_common).where("doc_id is not null and n_shingles > 0").select("doc_id", "component_id")
     per_id = written(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("component_id <> doc_id or n > 1"), "duplicates")
     marked = in_filter(documents, "doc_id", per_id.select("doc_id"))
     clear = marked.where(~F.col("maybe")).select(*documents.columns)

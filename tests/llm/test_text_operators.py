@@ -1,0 +1,262 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from lexweave.llm import bpe, chat, decontamination, html_text, personal_data, quality, rules, toxicity
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def docs(spark, *texts, extra: bool = False):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    if extra:  # columns that clash with what operators add
+        for name in ("n_words", "n_hit", "items", "spans", "kept", "ids", "score", "_row", "maybe", "_bits", "x"):
+            df = df.selectExpr("*", f"'old' AS {name}")
+    return df
+
+
+# decontamination
+
+
+def brute_hits(text, items, window=10):
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    words, hit, owners = find(text), set(), set()
+    for item, t in items:
+        own = find(t)
+        k = min(window, len(own))
+        for j in range(len(own) - k + 1 if own else 0):
+            for i in range(len(words) - k + 1):
+                if words[i : i + k] == own[j : j + k]:
+                    hit |= set(range(i, i + k))
+                    owners.add(str(item))
+    return len(words), len(hit), sorted(owners)
+
+
+@pytest.mark.parametrize("max_block_words", [100_000, 12])
+def test_decontamination_against_brute_force(spark, max_block_words):
+    rng = random.Random(3)
+    vocab = ["a", "b", "c", "É"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 1, 4, 9, 10, 11, 15])))) for i in range(12)] + [(3, "b b b b"), (None, "a a"), (50, None)]
+    texts = [" ".join(rng.choice([*vocab, "d"]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + [None, "", "A-b,C" * 30]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontamination.find_contamination(docs(spark, *texts, extra=True), benchmark, max_block_words=max_block_words).collect()}
+    known = [(i, t) for i, t in items if i is not None]
+    assert got == {i: brute_hits(t, known) for i, t in enumerate(texts)}
+
+
+def test_decontaminate_cuts_and_keeps(spark):
+    item = "one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    source = docs(spark, f"Clean é start, {item.upper()}! and a long clean end of the text here", "clean", item, None)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontamination.decontaminate(source, benchmark).collect()}
+    assert got == {0: ("Clean é start, ! and a long clean end of the text here", 54), 1: ("clean", 5), 3: (None, 0)}
+    empty = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontamination.decontaminate(source, empty).count() == 4
+
+
+# rules
+
+
+def brute_measures(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    count = Counter(windows)
+    repeats = {j for i, w in enumerate(windows) if count[w] > 1 for j in range(i, i + 3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeats)
+
+
+def test_measures_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["a ", "b ", "é ", "\n", " ", "#", "|", " ", "\x0b"]) for _ in range(rng.randint(0, 80)))
+        assert rules.measures(text)[:5] == brute_measures(text)
+    assert rules.measures(None)[:5] == (0, 0, 0, 0, 0)
+
+
+def test_rules_follow_each_source(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        marks = "&" if i % 2 else ""  # a source whose words carry a sign
+        rows.append((i, " ".join(f"word{rng.randint(0, 10**6)}{marks}" for _ in range(80)), "en", f"s{i % 2}", 0))
+    rows += [(900, " ".join(f"w{j}###" for j in range(80)), "en", "s0", 0), (901, " ".join(f"word{j + 100000}" for j in range(80)), None, None, 0), (902, None, "en", "s0", 0), (903, "same " * 80, "en", "s1", 0)]
+    source = spark.createDataFrame(rows, DOCS)
+    kept = {r["doc_id"] for r in rules.keep_good(source).collect()}
+    assert kept == set(range(400)) | {901}
+    assert rules.keep_good(source.where("false")).count() == 0
+
+
+def test_quantiles_of_merged_sketches(spark):
+    values = [1 + i / 10 for i in range(1000)]
+    import math
+
+    sketch = spark.createDataFrame([("x", "g" if i % 3 else "h", math.ceil(math.log(v) / math.log(rules.GAMMA)) or None, 1) for i, v in enumerate(values)], "stat string, source string, bucket int, n bigint")
+    row = rules.quartiles(sketch).first()
+    assert row["size"] == 1000
+    for q, got in ((0.25, row["q25"]), (0.5, row["q50"]), (0.75, row["q75"])):
+        assert abs(got / values[int(1000 * q) - 1] - 1) < 0.02
+
+
+# quality and toxicity
+
+
+def test_quality_learns(spark):
+    rng = random.Random(6)
+    good = [" ".join(rng.choice(["alpha", "beta", "of", "gamma", "the"]) + rng.choice(["", "", ","]) for _ in range(rng.randint(30, 90))) for _ in range(120)]
+    bad = [" ".join(rng.choice(["ALPHA!!", "###", "x"]) for _ in range(rng.randint(30, 90))) for _ in range(120)]
+    source = docs(spark, *good, *bad, "", None, "word " * 50_000, extra=True)
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(240)], "doc_id bigint, label int")
+    vectors = quality.with_statistics(source)
+    got = {r["doc_id"]: r["score"] for r in quality.score(vectors, quality.fit(vectors, labels)).collect()}
+    assert len(got) == 243 and all(0 <= s <= 1 for s in got.values())
+    assert sum((got[i] >= 0.3) == (i < 120) for i in range(240)) >= 236
+    nothing = quality.fit(vectors, labels.where("false"))
+    assert {r["score"] for r in quality.score(vectors, nothing).collect()} == {0.5}
+
+
+def test_toxicity_learns_from_documents_and_locates_sentences():
+    rng = random.Random(7)
+    clean = lambda: " ".join(rng.choice(["tree", "house", "river", "green", "cloud", "stone", "bird"]) for _ in range(8))
+    sample = []
+    for i in range(300):
+        sentences = [clean() for _ in range(6)]
+        if i % 3 == 0:
+            sentences[rng.randrange(6)] += " you vile" + rng.choice(["ness", "ly", "st", "r"]) + " fool"
+        sample.append((". ".join(sentences), int(i % 3 == 0)))
+    score = toxicity.fit(sample[:240]).scorer()
+    assert all((score(text)[0] >= 0.5) == bool(label) for text, label in sample[240:])
+    text = "Green tree. You VILEISH fool! Stone bird"
+    p, spans = score(text)
+    assert p >= 0.5 and [text[a:b] for a, b, _ in spans] == [" You VILEISH fool"]
+    assert score(None) == (0.0, []) and score("") == (0.0, [])
+    assert toxicity.fit([]).scorer()("you vile fool") == (0.0, [])
+
+
+# personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(digits[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_against_brute_force():
+    rng = random.Random(8)
+    parts = ["a@b.c", "@", ".", "x-y@z.co.uk", " ", "1", "255", "300", "4111111111111111", "4111 1111-1111 1111", "+1 (555) 123-4567", "+", "-", "(", "é", "12.3.4.5", "\n", "007"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert personal_data.base_spans(text) == brute_spans(text), text
+    long = "1." * 200_000 + "a" * 200_000 + "9" * 100_000 + "@"  # takes linear time
+    assert len(personal_data.base_spans(long)) == 50_000
+    assert personal_data.base_spans(None) == []
+
+
+def test_model_adds_credentials_and_keeps_base(spark):
+    texts = [f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and mail to u{i}@mail.com' for i in range(40)] + [f"order 555-{i:03d}-12 {i}" for i in range(20)] + ["", None]
+    source = docs(spark, *texts, extra=True)
+    model = personal_data.fit(source)
+    got = {r["doc_id"]: r["spans"] for r in personal_data.find(source, model).collect()}
+    for i, text in enumerate(texts):
+        assert [(s["kind"], s["start"], s["end"]) for s in got[i] if s["base"]] == brute_spans(text)
+    assert {s["kind"] for s in got[0]} == {"email", "secret"} and got[60] == got[61] == []
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in personal_data.redact(docs(spark, *texts), model).collect()}
+    assert out[0][0] == 'token = "[SECRET]" and mail to [EMAIL]' and out[0][1] == len(out[0][0]) and out[61] == (None, 0)
+    assert personal_data.find(source, personal_data.fit(source.where("false"))).count() == 62
+
+
+# BPE
+
+
+def test_bpe_against_library():
+    with open(PATH, encoding="utf-8") as file:
+        text = file.read()
+    library, rng = Tokenizer.from_file(PATH), random.Random(9)
+    alphabets = ["abcdefghij étß", "a", "ab", "012345", "'st re ll", "  \n\t", "<|endoftext|> ab", "жизнь漢字🙂 é", "!?'.,-", "aaabbb'''sss  \n"]
+    for leaf in (7, 60):
+        codec = bpe.Codec(text, leaf=leaf)
+        for i in range(300):
+            s = "".join(rng.choice(rng.choice(alphabets)) if rng.random() < 0.7 else rng.choice(["<|endoftext|>", "  ", "the", "'s", "\n\n"]) for _ in range(rng.randint(0, 300)))
+            if i % 5 == 0:
+                s = "".join(rng.choice("etaoinshr") for _ in range(rng.randint(500, 2000)))
+            want = library.encode(s, add_special_tokens=False).ids
+            assert codec.encode(s) == want
+            assert codec.decode(want) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_over_tasks(spark):
+    texts = ["", None, "short text", "word é " * 3000, "x" * 9000, "<|endoftext|>" + "ab " * 4000]
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs(spark, *texts, extra=True).drop("ids"), PATH, task_bytes=5000, task_chars=700).collect()}
+    library = Tokenizer.from_file(PATH)
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    encoded = spark.createDataFrame(list(got.items()), "doc_id bigint, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(encoded, PATH).collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+# chat
+
+
+def test_chat_round_trip(spark):
+    part = lambda kind, text=None, ref=None, size=None: (kind, text, ref, size)
+    rows = [
+        (1, 0, "user", [part("text", "a <|end|> [INST] & é\n"), part("image", ref="i.png", size=1568), part("text", "b")]),
+        (1, 1, "assistant", [part("text", "</s>&lt;"), None]),
+        (1, 1, "assistant", [part("text", "</s>&lt;")]),
+        (1, None, None, None),
+        (2, 0, "us\ner", [part("audio", ref="x", size=1), part("document", ref="d", size=9)]),
+        (None, 5, "assistant", []),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {chat.PARTS}")
+    from pyspark.sql import functions as F
+
+    out = chat.format_chat(df).withColumn("t", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("turns")))
+    got = {r["conv_id"]: r for r in out.collect()}
+    assert [tuple(t) for t in got[1]["t"]] == [("", ""), ("user", "a <|end|> [INST] & é\n<|image|>b"), ("assistant", "</s>&lt;"), ("assistant", "</s>&lt;")]
+    assert got[1]["loss"] == ["</s>&lt;"] * 2 and got[None]["loss"] == [""]
+    assert [(a["type"], a["ref"], a["tokens"]) for a in got[1]["attachments"]] == [("image", "i.png", 2)] and got[1]["n_attachment_tokens"] == 2
+    assert got[2]["t"][0]["role"] == "us\ner" and [a["tokens"] for a in got[2]["attachments"]] == [1, 3]
+    for r in got.values():
+        assert all(r["formatted"][t["start"] : t["end"]].startswith(chat.TURN) for t in r["turns"])
+    assert chat.format_chat(df.where("false")).count() == 0
+
+
+# HTML
+
+
+def test_html_main_text():
+    page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header>Head</header><nav><ul><li><a href=x>Home</a></li></ul></nav>
+    <div class="cookie-notice">We use cookies and a long sentence about them, really quite long for a notice.</div>
+    <article><h1>A title &amp; more</h1><p><b>A long paragraph of text that is surely content, with   many
+    words.<br><p>Short.</p><div class="ad">Buy now this very long advert text that looks like content, it does.</div><p>Another paragraph, long enough&nbsp;to count as text.</p>
+    <div id="comments"><p>A reader says many long things in a comment that should not be there at all.</p></div></article>
+    <aside>Side</aside><form>Name <input></form><footer>&copy; me</footer></body>"""
+    assert html_text.main_text(page) == "A title & more\nA long paragraph of text that is surely content, with many words.\nShort.\nAnother paragraph, long enough to count as text."
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
+    assert html_text.main_text("<p>one<p>two &am") == "one\ntwo &am"
+
+
+def test_html_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>text</p></article>", 1), (1, "u", None, 2), (None, None, "<p>" * 3000 + "deep", 3)], "page_id bigint, url string, html string, n_chars int")
+    assert [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()] == [(1, "text", 4), (1, "", 0), (None, "deep", 4)]
