@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.normalize import normalize_tokens
-from lexweave.functions.tokens import PIECE, Analyzer, has_inner_hyphen, is_hyphen
+from lexweave.functions.tokens import PIECE, TOKEN, Analyzer, has_inner_hyphen, is_hyphen
 
 
 def blocks(documents: DataFrame) -> DataFrame:
@@ -20,16 +20,28 @@ def unnested(df: DataFrame, array: str | Column, name: str, *carry: str | Column
     return df.select(*carry, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
-def analyzed(documents: DataFrame, analyzer: Analyzer, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer partitions than there are, as a small table in one file does. A large input
+    has more and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
+def analyzed(documents: DataFrame, analyzer: Analyzer, *keys: str, offsets: bool = True) -> DataFrame:
     """keys (doc_id and segment if none are named), norm (normalised text), pieces, tokens and words of each text.
 
     pieces tile norm; a token (text, pos, lemma, at) knows its piece; a word (lemma, tok_idx, hyph_left, hyph_right,
-    inner_hyphen) is a token with a lemma. Narrow: one row in, one row out.
+    inner_hyphen) is a token with a lemma. Narrow: one row in, one row out. Without offsets, pieces and at are null, and
+    only half as many strings are cut.
     """
     keys = keys or ("doc_id", "segment")
     normalized = documents.select(*keys, normalize_tokens(F.coalesce("text", F.lit(""))).alias("norm"))
-    cut = normalized.withColumn("pieces", F.regexp_extract_all("norm", F.lit(PIECE), 0))
-    placed = F.filter(F.transform("pieces", lambda p, i: F.struct(p.alias("text"), i.alias("at"))), lambda t: t["text"].rlike(r"\S"))
+    if offsets:
+        cut = normalized.withColumn("pieces", F.regexp_extract_all("norm", F.lit(PIECE), 0))
+        placed = F.filter(F.transform("pieces", lambda p, i: F.struct(p.alias("text"), i.alias("at"))), lambda t: t["text"].rlike(r"\S"))
+    else:
+        cut = normalized.withColumn("pieces", F.lit(None).cast("array<string>"))
+        placed = F.transform(F.regexp_extract_all("norm", F.lit(TOKEN), 0), lambda p: F.struct(p.alias("text"), F.lit(None).cast("int").alias("at")))
     tagged = F.transform(placed, lambda t: F.struct(t["text"].alias("text"), t["at"].alias("at"), analyzer.tagger(t["text"]).alias("pos")))
     full = F.transform(tagged, lambda t: F.struct(t["text"].alias("text"), t["pos"].alias("pos"), analyzer.lemma(t["text"], t["pos"]).alias("lemma"), t["at"].alias("at")))
     return cut.withColumn("tokens", full).withColumn("words", words(F.col("tokens")))

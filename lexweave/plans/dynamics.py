@@ -39,7 +39,7 @@ def term_dynamics(documents: DataFrame, terms: DataFrame, config: EngineConfig,
     """
     analyzer = analyzer or Analyzer()
     patterns = W.term_patterns(terms, analyzer)
-    done = W.analyzed(documents, analyzer)
+    done = W.analyzed(documents, analyzer, offsets=False)
     options = {"allow_punct_between": config.allow_punct_between, "disallow_hyphen_adjacent_for_unigrams": config.disallow_hyphen_adjacent_for_unigrams, "max_broadcast": config.max_broadcast_patterns}
     hits = M.matches(done, patterns, "doc_id", "segment", "tokens", **options)
     totals = segment_totals(documents, W.word_totals(done, "segment"), config)

@@ -31,7 +31,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, segment: str = "lang") -> DataFrame:
     """doc_id, segment and text of the documents; the scan reads these columns only."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.col(segment).alias("segment"), "text")
+    return W.spread(_table(spark, sf_dir, "documents").select("doc_id", F.col(segment).alias("segment"), "text"))
 
 
 def terms(spark: SparkSession) -> DataFrame:
@@ -43,7 +43,7 @@ def patterns(spark: SparkSession) -> DataFrame:
 
 
 def words_of(spark: SparkSession, sf_dir: str, segment: str = "lang") -> DataFrame:
-    return W.analyzed(documents(spark, sf_dir, segment), ANALYZER)
+    return W.analyzed(documents(spark, sf_dir, segment), ANALYZER, offsets=False)
 
 
 def _normalized(function: Callable[[Column], Column]) -> Query:
@@ -140,7 +140,7 @@ def _unigrams(**options) -> Query:
 def _kgrams(scope: str = "document", **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         texts = documents(spark, sf_dir)
-        done = W.analyzed(W.blocks(texts), ANALYZER, "doc_id", "segment", "block_id") if scope == "block" else W.analyzed(texts, ANALYZER)
+        done = W.analyzed(W.blocks(texts), ANALYZER, "doc_id", "segment", "block_id") if scope == "block" else W.analyzed(texts, ANALYZER, offsets=False)
         return M.count_hits(M.matches(done, patterns(spark).where("k > 1"), **options), "segment")
 
     return query
