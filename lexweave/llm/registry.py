@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexweave.llm import op1, op3, op4, op5, op6, op7, op8, op9, op10
+from lexweave.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_quality_classifier": op1.op1_quality_classifier,
+    "op2_token_counts": op2.op2_token_counts,
     "op3_bpe_codec": op3.op3_bpe_codec,
     "op4_quality_rules": op4.op4_quality_rules,
     "op5_toxicity": op5.op5_toxicity,
