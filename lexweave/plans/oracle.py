@@ -152,6 +152,17 @@ def decision() -> str:
     return f"SELECT CAST(id AS BIGINT) AS id, {translate(lemma_, N.YO, N.YO_FOLDED)} AS lemma FROM ({source})"
 
 
+WORD_CHARS = r"\p{L}\p{N}_"
+
+
+def filtered() -> str:
+    """The lemma filter without word boundaries: each rule blanks whole runs of word characters."""
+    joined = f"array_to_string(string_split_regex('мая клетка я он 3вук xiv ' || {letters('text')}, '\\s+'), ' ')"
+    blank = f"regexp_matches(w, '^[a-zA-Z]+$') OR regexp_matches(w, '^[{WORD_CHARS}]{{1,2}}$') OR regexp_matches(lower(w), '^(?:{N.MONTHS})$')"
+    runs = f"list_transform(regexp_extract_all({joined}, '[{WORD_CHARS}]+|[^{WORD_CHARS}]'), lambda w: CASE WHEN {blank} THEN ' ' ELSE regexp_replace(w, '^3', 'З') END)"
+    return f"SELECT doc_id, array_to_string(regexp_extract_all(array_to_string({runs}, ''), '[{WORD_CHARS}]+(?:[-''.][{WORD_CHARS}]+)*|[^\\s{WORD_CHARS}]'), ' ') AS words FROM documents"
+
+
 def simple(expression: str) -> str:
     return f"SELECT doc_id, {expression} AS text FROM documents"
 
@@ -164,6 +175,7 @@ SQL: dict[str, str] = {
     "remove_chars": simple(blanked("text", ".,!aeiou")),
     "remove_special": simple(blanked("text", N.SPECIAL_FULL)),
     "remove_special_soft": simple(blanked("text", N.SPECIAL_SOFT)),
+    "filter_latin_months_short": filtered(),
     "stopword_filter": f"SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w NOT IN ({listed(fixtures.STOPWORDS)})), ' ') AS words FROM documents",
     "preprocess_tokens": f"SELECT doc_id, array_to_string(list_filter(string_split_regex({blanked(letters(invisible(accents('text'))), N.SPECIAL_FULL)}, '\\s+'), lambda w: w <> ''), ' ') AS words FROM documents",
     "tokens_offsets": f'WITH {tokens(WHOLE)} SELECT doc AS doc_id, i AS tok_idx, text, CAST(start AS INT) AS start, "end" FROM tok',
