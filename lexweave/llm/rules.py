@@ -157,9 +157,10 @@ def thresholds(sketch: DataFrame, *, gamma: float = GAMMA, min_group: int = MIN_
     return chosen.groupBy("lang", "source").agg(*fences)
 
 
-def judged(measured: DataFrame, *, gamma: float = GAMMA, min_group: int = MIN_GROUP) -> DataFrame:
-    """measured with base_failed and kept. measured has lang, source and the measures of with_measures."""
-    limits = written(thresholds(sketches(measured, gamma=gamma), gamma=gamma, min_group=min_group), "rule-thresholds")
+def judged(measured: DataFrame, like: DataFrame | None = None, *, gamma: float = GAMMA, min_group: int = MIN_GROUP) -> DataFrame:
+    """measured with base_failed and kept. measured has lang, source and the measures of with_measures; the thresholds are
+    those of like, if it is given."""
+    limits = written(thresholds(sketches(measured if like is None else like, gamma=gamma), gamma=gamma, min_group=min_group), "rule-thresholds")
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(f"{stat}_{side}").alias(f"_{stat}_{side}") for stat, side, *_ in RULES))
     if limits.count() <= MAX_BROADCAST_GROUPS:
         limits = F.broadcast(limits)
@@ -172,7 +173,7 @@ def judged(measured: DataFrame, *, gamma: float = GAMMA, min_group: int = MIN_GR
 def keep_good(documents: DataFrame) -> DataFrame:
     """The rows of documents that the rules keep, with the same columns.
 
-    The measures of each row are written once with the row's own columns, so the text is read and measured once.
+    Texts are measured twice, for the sketches and for the verdicts: to keep them with their measures in between would
+    write the whole input again.
     """
-    measured = written(with_measures(documents, *documents.columns), "rule-measures")
-    return judged(measured).where("kept").select(*documents.columns)
+    return judged(with_measures(documents, *documents.columns), with_measures(documents, "lang", "source")).where("kept").select(*documents.columns)
