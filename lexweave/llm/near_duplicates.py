@@ -166,25 +166,38 @@ def common_shingles(documents: DataFrame, *, size: int) -> np.ndarray:
     return flags
 
 
-def signatures(documents: DataFrame, *, size: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and the signatures of its parts, without the common shingles if these are
-    given."""
+def set_digests(documents: DataFrame, *, size: int) -> DataFrame:
+    """doc_id, n_shingles and the digest of the set (null: empty) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(text, size, hashes) for text in batch.column("text").to_pylist()]
+            digests = [xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None for own in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "digest"])
+
+    return map_batches(documents.select("doc_id", "text"), run, f"doc_id {_type(documents, 'doc_id')}, n_shingles bigint, digest binary")
+
+
+def part_signatures(documents: DataFrame, ids: DataFrame, *, size: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
+    """node and part: a row for each part of the sets of the documents among ids (and of a few others, which are copies of
+    them), without the common shingles if these are given. They go from the text into one shuffle: stored, they would be
+    most of what is kept of a text here."""
     shared = None if common is None else documents.sparkSession.sparkContext.broadcast(np.packbits(common).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts = WordHashes(), Parts(percent)
         flags = None if shared is None else np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
-            n, digests, found = [], [], []
+            found = []
             for text in batch.column("text").to_pylist():
                 own = shingles(text, size, hashes)
-                n.append(len(own))
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                found.append(parts.of(own, None if flags is None else own[~flags[slots_of(own)]]).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "parts"])
+                found.append(parts.of(own, None if flags is None else own[~flags[slots_of(own)]]))
+            nodes = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], names=["node", "part"])
 
-    return map_batches(documents.select("doc_id", "text"), run, f"doc_id {_type(documents, 'doc_id')}, n_shingles bigint, digest binary, parts array<bigint>")
+    chosen = in_filter(documents.select("doc_id", "text"), "doc_id", ids).where("maybe").select("doc_id", "text")
+    return map_batches(chosen, run, "node bigint, part bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,18 +321,17 @@ def link_documents(documents: DataFrame, *, size: int, percent: int, skip_common
     doc_id, n_shingles and component_id of every row: documents link when 100 times the common shingles are at least
     `percent` times all their shingles; component_id is the smallest doc_id reachable by links."""
     common = common_shingles(documents, size=size) if skip_common else None
-    rows = written(signatures(documents, size=size, percent=percent, common=common), "signatures")
+    rows = written(set_digests(documents, size=size), "set-digests")
     ids = rows.where("doc_id is not null and digest is not null")
-    # the parts go into one shuffle only: they are most of what is kept of a text here
     classes = written(ids.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("rep")), "classes")
-    of_class = ids.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("rep"), F.first("parts").alias("parts"))
-    parts = of_class.select("rep", F.explode("parts").alias("part"))
-    least = F.min("rep").over(Window.partitionBy("part"))
-    edges = parts.select(F.col("rep").alias("a"), least.alias("b")).where("a <> b").distinct()
+    known = documents.where("doc_id is not null")
+    parts = part_signatures(known, classes.select("rep"), size=size, percent=percent, common=common)
+    least = F.min("node").over(Window.partitionBy("part"))
+    edges = parts.select(F.col("node").alias("a"), least.alias("b")).where("a <> b").distinct()
     stars = components(edges)
     roots = stars.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("block"))
     blocks = written(stars.select("node", F.col("root").alias("block")).unionByName(roots), "blocks")
-    sets = sets_of(documents.where("doc_id is not null"), blocks.select("node"), size=size)
+    sets = sets_of(known, blocks.select("node"), size=size)
     links = written(block_links(sets.withColumn("node", F.col("node").cast("bigint")), blocks, percent, run_tokens), "links")
     repeated = ids.select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("d")).where("n > 1")
     labels = classes.select("digest", "rep").join(links, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component"))
