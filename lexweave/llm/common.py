@@ -13,7 +13,7 @@ from lexweave.shipping import shipped
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 #: Largest Arrow batch handed to a Python worker, so that long texts cannot fill its memory.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 #: One label in five is held out from every fit.
 FOLDS = 5

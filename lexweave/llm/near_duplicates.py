@@ -44,7 +44,7 @@ PIVOTS = 40
 FILTER_BITS = 1 << 26
 
 #: Words whose hash a worker remembers, at most.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 #: Slots of the counts of shingles, documents of a task in which a slot is worth telling, and of all tasks from which its
 #: shingles are common. These only choose which tokens the parts leave out; any choice gives the same links.
