@@ -3,8 +3,9 @@
 The standard library's streaming parser turns a page into lines: a line ends wherever a block element starts or ends.
 Each line has a ratio of text to tags; lines inside elements that are boilerplate by name, class or role have ratio 0.
 The ratios are smoothed with a Gaussian kernel, and a threshold between the two clusters of the smoothed ratios marks
-the lines that are surely content. The content regions are the smallest sectioning elements that hold these lines;
-every line of a region that is not boilerplate is text, however short.
+the lines that are surely content. The content region is the smallest sectioning element that holds all these lines,
+widened to the article or main element around it, if there is one; every line of the region that is not boilerplate is
+text, however short.
 
 Edge cases: null, empty and text-free pages give an empty text; broken markup (unclosed elements, cut character
 references, a page that ends anywhere) is read as far as it goes; pages are read whole; rows are independent, so
@@ -30,9 +31,6 @@ CHUNK = 1 << 16
 #: Width of the Gaussian kernel in lines.
 SIGMA = 1.0
 
-#: A region counts if it has this part of the content of the largest one.
-REGION_SHARE = 0.3
-
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -80,6 +78,7 @@ class Lines(HTMLParser):
         self.data: list[str] = []
         self.tags = 0
         self.sections = 0
+        self.articles: set[int] = set()
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.data).split())
@@ -105,6 +104,8 @@ class Lines(HTMLParser):
         if tag in SECTION:
             self.sections += 1
             path = (*path, self.sections)
+            if tag in ("article", "main"):
+                self.articles.add(self.sections)
         self.open.append(Open(tag, hidden, top.article or tag in ("article", "main"), path))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -152,12 +153,24 @@ class Lines(HTMLParser):
         self._end_line()
 
 
-def lines_of(html: str) -> list[Line]:
+def parsed(html: str) -> Lines:
     parser = Lines()
     for at in range(0, len(html), CHUNK):
         parser.feed(html[at : at + CHUNK])
     parser.close()
-    return parser.lines
+    return parser
+
+
+def region_of(paths: list[tuple[int, ...]], articles: set[int]) -> tuple[int, ...]:
+    """The path that all these paths begin with, up to its innermost article if it has one."""
+    first, last = min(paths), max(paths)
+    shared = 0
+    while shared < min(len(first), len(last)) and first[shared] == last[shared]:
+        shared += 1
+    for k in range(shared, 0, -1):
+        if first[k - 1] in articles:
+            return first[:k]
+    return first[:shared]
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -176,8 +189,11 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """The border between two clusters of the values (2-means in one dimension, from their extremes)."""
-    low, high = min(values), max(values)
+    """The border between two clusters of the values (2-means in one dimension, from 0 and the largest).
+
+    The low cluster starts at the ratio of a line without text, so that a page of content only is not divided.
+    """
+    low, high = 0.0, max(values)
     for _ in range(20):
         border = (low + high) / 2
         below, above = [v for v in values if v < border], [v for v in values if v >= border]
@@ -190,21 +206,15 @@ def threshold(values: list[float]) -> float:
 
 def main_text(html: str | None) -> str:
     """The blocks of the page's main text, joined by line ends."""
-    lines = lines_of(html or "")
+    page = parsed(html or "")
+    lines = page.lines
     visible = [line for line in lines if not line.hidden]
     if not visible:
         return ""
     ratios = smoothed([0.0 if line.hidden else math.log1p(len(line.text) / line.tags) for line in lines])
-    shown = [r for r, line in zip(ratios, lines) if not line.hidden]
-    border = threshold(shown)
-    content: dict[tuple[int, ...], float] = {}
-    for r, line in zip(ratios, lines):
-        if not line.hidden and r >= border:
-            content[line.path] = content.get(line.path, 0) + len(line.text)
-    most = max(content.values())
-    regions = {path for path, size in content.items() if size >= REGION_SHARE * most}
-    regions = {path for path in regions if not any(path[:k] in regions for k in range(1, len(path)))}
-    return "\n".join(line.text for line in visible if any(line.path[: len(path)] == path for path in regions))
+    border = threshold([r for r, line in zip(ratios, lines) if not line.hidden])
+    region = region_of([line.path for r, line in zip(ratios, lines) if not line.hidden and r >= border], page.articles)
+    return "\n".join(line.text for line in visible if line.path[: len(region)] == region)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -257,6 +257,17 @@ def test_html_main_text():
     assert html_text.main_text("<p>one<p>two &am") == "one\ntwo &am"
 
 
+def test_html_keeps_all_sections_of_an_article():
+    long, short = "a long sentence of text. " * 80, "a shorter section. " * 21
+    sections = f"<section><p>{long}</p></section><section><p>{short}</p></section>"
+    want = f"Title\n{long.strip()}\n{short.strip()}"
+    assert html_text.main_text(f"<html><body><article><h1>Title</h1>{sections}</article></body></html>") == want
+    assert html_text.main_text(f"<body><nav>Menu</nav><main><h1>Title</h1>{sections.replace('section>', 'div>')}</main><footer>me</footer></body>") == want
+    assert html_text.main_text(f"<body><div><div><p>{long}</p></div><div><p>{short}</p></div></div></body>") == f"{long.strip()}\n{short.strip()}"
+    cells = "".join(f"<tr><td><p>{text}</p></td></tr>" for text in (long, short))
+    assert html_text.main_text(f"<body><nav>Menu</nav><div><table>{cells}</table></div></body>") == f"{long.strip()}\n{short.strip()}"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>text</p></article>", 1), (1, "u", None, 2), (None, None, "<p>" * 3000 + "deep", 3)], "page_id bigint, url string, html string, n_chars int")
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()] == [(1, "text", 4), (1, "", 0), (None, "deep", 4)]
