@@ -2,7 +2,8 @@
 
 The standard library's streaming parser turns a page into lines: a line ends wherever a block element starts or ends.
 Each line has a ratio of text to tags; lines inside elements that are boilerplate by name, class or role have ratio 0.
-The ratios are smoothed with a Gaussian kernel, and a threshold between the two clusters of the smoothed ratios marks
+Marks hide whole class, id and role tokens, but never html, body, main, article or an element with most of the page's
+text; a page of nothing but marked elements is read without marks. The ratios are smoothed with a Gaussian kernel, and a threshold between the two clusters of the smoothed ratios marks
 the lines that are surely content. The content region is the smallest sectioning element that holds all these lines,
 widened to the article or main element around it, if there is one; every line of the region that is not boilerplate is
 text, however short.
@@ -40,13 +41,17 @@ BLOCK = frozenset(
 SECTION = frozenset("article body div main section td".split())
 #: Never text of the page, or never its main text.
 HIDDEN = frozenset("aside audio button canvas datalist dialog fieldset footer form head iframe input label menu nav noscript object option script search select style svg template textarea title video".split())
-#: Class, id and role words of boilerplate.
+#: Words of boilerplate: a class, id or role token made up of them (as cookie-notice) marks its element.
 MARKS = frozenset(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar "
     "navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription tags toolbar widget complementary contentinfo".split()
 )
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+#: Words that say where or what kind of box a marked element is (as sidebar-left, ad-container), not what it holds.
+PLACES = frozenset("area bar block bottom box container inner item items left links list main right section site top wrapper".split())
+#: Elements that marks never hide.
+WHOLE = frozenset("article body html main".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: An element that the start of another closes.
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _CLOSES = {tag: frozenset(names.split()) for tag, names in CLOSES.items()}
@@ -57,6 +62,7 @@ class Line:
     text: str
     tags: int
     hidden: bool
+    mark: int
     path: tuple[int, ...]
 
 
@@ -64,6 +70,7 @@ class Line:
 class Open:
     tag: str
     hidden: bool
+    mark: int
     article: bool
     path: tuple[int, ...] = field(default=())
 
@@ -74,18 +81,20 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[Open] = [Open("", False, False, (0,))]
+        self.open: list[Open] = [Open("", False, 0, False, (0,))]
         self.data: list[str] = []
         self.tags = 0
         self.sections = 0
         self.articles: set[int] = set()
+        #: For each marked element (0: none) the marked element around it.
+        self.around: list[int] = [0]
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.data).split())
         self.data.clear()
         if text:
             top = self.open[-1]
-            self.lines.append(Line(text, max(1, self.tags), top.hidden, top.path))
+            self.lines.append(Line(text, max(1, self.tags), top.hidden, top.mark, top.path))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -98,15 +107,19 @@ class Lines(HTMLParser):
             self._close_open(_CLOSES[tag])
         top = self.open[-1]
         hidden = top.hidden or tag in HIDDEN or (tag == "header" and not top.article)
+        mark = top.mark
         if not hidden and attrs:
-            hidden = self._marked(attrs, top.article)
+            hidden = self._invisible(attrs)
+            if tag not in WHOLE and self._marked(attrs, top.article):
+                self.around.append(mark)
+                mark = len(self.around) - 1
         path = top.path
         if tag in SECTION:
             self.sections += 1
             path = (*path, self.sections)
             if tag in ("article", "main"):
                 self.articles.add(self.sections)
-        self.open.append(Open(tag, hidden, top.article or tag in ("article", "main"), path))
+        self.open.append(Open(tag, hidden, mark, top.article or tag in ("article", "main"), path))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,15 +136,19 @@ class Lines(HTMLParser):
             if tag in BLOCK:
                 return
 
+    @staticmethod
+    def _invisible(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and re.search(r"display\s*:\s*none", value)) for name, value in attrs)
+
     @staticmethod
     def _marked(attrs: list[tuple[str, str | None]], article: bool) -> bool:
         for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and re.search(r"display\s*:\s*none", value)):
-                return True
             if name in ("class", "id", "role") and value:
-                words = set(_SPLIT.split(value)) | set(_SPLIT.split(value.lower()))
-                if words & MARKS or ("header" in words and not article):
-                    return True
+                for token in value.split():
+                    for words in ({token.lower()}, {word.lower() for word in _WORD.findall(token)}):
+                        rest = words - MARKS if article else words - MARKS - {"header"}
+                        if len(rest) < len(words) and rest <= PLACES:
+                            return True
         return False
 
     def handle_endtag(self, tag: str) -> None:
@@ -173,6 +190,26 @@ def region_of(paths: list[tuple[int, ...]], articles: set[int]) -> tuple[int, ..
     return first[:shared]
 
 
+def hide_marked(page: Lines) -> None:
+    """Hide the lines of marked elements, save those with most of the page's text, or none if no line would be left."""
+    size = [0] * len(page.around)
+    whole = 0
+    for line in page.lines:
+        if not line.hidden:
+            size[line.mark] += len(line.text)
+            whole += len(line.text)
+    for mark in range(len(size) - 1, 0, -1):
+        if page.around[mark]:
+            size[page.around[mark]] += size[mark]
+    hides = [False] * len(size)
+    for mark in range(1, len(size)):
+        hides[mark] = hides[page.around[mark]] or 2 * size[mark] <= whole
+    if all(line.hidden or hides[line.mark] for line in page.lines):
+        return
+    for line in page.lines:
+        line.hidden = line.hidden or hides[line.mark]
+
+
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     """Values under a normalised Gaussian kernel of three sigma."""
     reach = math.ceil(3 * sigma)
@@ -207,6 +244,7 @@ def threshold(values: list[float]) -> float:
 def main_text(html: str | None) -> str:
     """The blocks of the page's main text, joined by line ends."""
     page = parsed(html or "")
+    hide_marked(page)
     lines = page.lines
     visible = [line for line in lines if not line.hidden]
     if not visible:

@@ -268,6 +268,16 @@ def test_html_keeps_all_sections_of_an_article():
     assert html_text.main_text(f"<body><nav>Menu</nav><div><table>{cells}</table></div></body>") == f"{long.strip()}\n{short.strip()}"
 
 
+def test_html_marks_do_not_hide_the_page():
+    text, advert = "a long sentence of text. " * 40, "an advert of some length. " * 4
+    want = text.strip()
+    for page in ('<body class="has-sidebar"><p>{}</p></body>', '<body class="sidebar no-sidebar"><p>{}</p></body>', '<article class="post tags-x comments"><p>{}</p></article>', '<div id="content" class="with-comments"><p>{}</p></div>', '<main class="search-page search"><p>{}</p></main>', '<div class="widget"><p>{}</p></div>'):
+        assert html_text.main_text(f"<html>{page.format(text)}</html>") == want
+        assert html_text.main_text(f'<html>{page.format(f"{text}</p><div class=sidebar-left>{advert}</div><div class=siteNav>{advert}</div><p>")}</html>') == want
+    assert html_text.main_text(f'<div class="promo"><p>{text}</p></div><div class="social"><p>{text}</p></div>') == f"{want}\n{want}"
+    assert html_text.main_text(f'<body><div class="header-bar"><p>{advert}</p></div><article><p>{text}</p></article></body>') == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>text</p></article>", 1), (1, "u", None, 2), (None, None, "<p>" * 3000 + "deep", 3)], "page_id bigint, url string, html string, n_chars int")
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()] == [(1, "text", 4), (1, "", 0), (None, "deep", 4)]
