@@ -28,7 +28,9 @@ from lexweave.llm.common import map_batches
 #: runs on the driver, which holds this many texts.
 MAX_TRAINING = 4_000
 
-#: Code points of those texts altogether, at most, so that long texts cannot fill the driver.
+#: Code points of those texts altogether, at most, so that long texts cannot fill the driver: half for each class, and what
+#: one class leaves over goes to the other. Texts are taken whole, in the order of the sample; one that does not fit is
+#: passed over. If none of a class fits, its shortest one is taken all the same, beyond the bound.
 MAX_TRAINING_CHARS = 20_000_000
 
 EPOCHS, RATE = 60, 0.15
@@ -108,20 +110,40 @@ def _aligned(text: str, found: list[tuple[int, int, float]], lower: str) -> list
     return [(int(np.searchsorted(at, start)), min(len(text), int(np.searchsorted(at, end))), p) for start, end, p in found]
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> list[tuple[str, int]]:
-    """At most limit labelled (text, label), half of them of each class, in an order that a hash of the id fixes."""
+def fitting(sizes: list[tuple[str, int, int]], max_chars: int) -> list[tuple[str, int]]:
+    """(id, label) of the texts to learn from, of (id, label, code points) in the order of the sample; see MAX_TRAINING_CHARS."""
+    total = {label: sum(chars for _, own, chars in sizes if own == label) for label in (0, 1)}
+    out = []
+    for label in (1, 0):
+        left = max(max_chars // 2, max_chars - total[1 - label])
+        own = [(doc_id, chars) for doc_id, of, chars in sizes if of == label]
+        taken = []
+        for doc_id, chars in own:
+            if chars <= left:
+                left -= chars
+                taken.append(doc_id)
+        if own and not taken:
+            taken.append(min(own, key=lambda r: r[1])[0])
+        out += [(doc_id, label) for doc_id in taken]
+    return out
+
+
+def training_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, max_chars: int = MAX_TRAINING_CHARS) -> list[tuple[str, int]]:
+    """At most limit labelled (text, label) of max_chars code points altogether, half of them of each class, in an order
+    that a hash of the id fixes."""
     chosen = None
     for label in (1, 0):
         own = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2)
         chosen = own if chosen is None else chosen.unionByName(own)
     # ids and labels of the sample: limit rows at most
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    out, chars = [], 0
-    for row in rows.select("doc_id", "text", "label").toLocalIterator():
-        chars += len(row["text"])
-        if out and chars > MAX_TRAINING_CHARS:
-            break
-        out.append((row["doc_id"], row["text"], row["label"]))
+    sizes = rows.groupBy("doc_id", "label").agg(F.sum(F.char_length("text")).alias("chars"))
+    sizes = [tuple(r) for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]  # limit rows at most
+    taken = set(fitting(sizes, max_chars))
+    if len(taken) < len(sizes):
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        rows = rows.join(F.broadcast(documents.sparkSession.createDataFrame([*taken], f"doc_id {kinds['doc_id']}, label {kinds['label']}")), ["doc_id", "label"], "left_semi")
+    out = [(row["doc_id"], row["text"], row["label"]) for row in rows.select("doc_id", "text", "label").toLocalIterator()]
     return [(text, label) for _, text, label in sorted(out, key=lambda r: (r[0], r[1]))]
 
 

@@ -143,6 +143,18 @@ def test_toxicity_learns_from_documents_and_locates_sentences():
     assert toxicity.fit([]).scorer()("you vile fool") == (0.0, [])
 
 
+def test_toxicity_sample_keeps_both_classes(spark):
+    texts = ["c" * 90 for _ in range(20)] + ["c" * 5000] + [f"t{i}" + "x" * 38 for i in range(10)]
+    labels = spark.createDataFrame([(i, int(i > 20)) for i in range(len(texts))], "doc_id bigint, label int")
+    source = docs(spark, *texts).coalesce(1)
+    sample = toxicity.training_sample(source, labels, max_chars=1000)
+    assert sorted(t for t, label in sample if label) == sorted(texts[21:])
+    assert [t for t, label in sample if not label] == texts[:1] * 6
+    assert len(toxicity.training_sample(source, labels)) == len(texts)
+    assert toxicity.fitting([(1, 1, 9), (2, 0, 700), (3, 1, 5), (4, 0, 20), (5, 0, 2)], 30) == [(1, 1), (3, 1), (5, 0)]
+    assert toxicity.fitting([(1, 1, 900), (2, 0, 2), (3, 1, 800)], 30) == [(3, 1), (2, 0)]
+
+
 # personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
