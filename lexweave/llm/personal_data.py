@@ -42,15 +42,15 @@ CARD = re.compile(r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-# Patterns of further candidates.
+# Patterns of further candidates: kind, strings of which each match holds one (a text without them is not searched), pattern.
 LOOSE = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++")),
-    ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
-    ("phone", re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-.][0-9]{4}(?![0-9-])")),
-    ("card", re.compile(r"(?<![0-9-])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9-])")),
-    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?\"?([A-Za-z0-9+/_.~-]{6,128})")),
+    ("email", ("(at)", "[at]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++")),
+    ("ip", (":",), re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
+    ("phone", tuple("0123456789"), re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-.][0-9]{4}(?![0-9-])")),
+    ("card", tuple("0123456789"), re.compile(r"(?<![0-9-])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9-])")),
+    ("ssn", tuple("0123456789"), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("secret", ("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
+    ("secret", ("=", ":"), re.compile(r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?\"?([A-Za-z0-9+/_.~-]{6,128})")),
 )
 
 # Gazetteers (fixed values).
@@ -125,8 +125,10 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 def candidates(text: str | None) -> list[tuple[str, int, int, bool, str, str]]:
     """(kind, start, end, base, votes, shape): base spans and further candidates that none of the same kind overlaps."""
     found = [(kind, a, b, True) for kind, a, b in base_spans(text)]
-    if text and DIGIT.search(text) or text and "at" in text and ("(at)" in text or "[at]" in text):
-        for kind, pattern in LOOSE:
+    if text:
+        for kind, needs, pattern in LOOSE:
+            if not any(need in text for need in needs):
+                continue
             for m in pattern.finditer(text):
                 a, b = m.span(1) if kind == "secret" and m.re.groups else m.span()
                 if not any(k == kind and x < b and a < y for k, x, y, _ in found):
@@ -210,9 +212,9 @@ def expectation_maximisation(patterns: list[tuple[str, float]], rounds: int = 50
     return prior, rates, p
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, decay: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic regression on probabilities y with counts n (Newton's method)."""
-    n = n * (1000.0 / n.sum()) if n.sum() > 1000 else n
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, decay: float = 1.0, rounds: int = 200) -> np.ndarray:
+    """Weights of a logistic regression on probabilities y with counts n (Newton's method). Counts are taken as they are, so
+    that the penalty weighs no more against a rare kind or pattern if others are common."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
