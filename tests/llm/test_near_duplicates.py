@@ -57,15 +57,16 @@ def corpus(seed, n, low, high):
 
 
 @pytest.mark.parametrize(
-    ("size", "percent", "low", "high", "run_tokens", "skip_common"),
-    [(3, 90, 1, 40, 10**6, False), (5, 80, 5, 200, 10**6, True), (3, 90, 60, 200, 900, False), (5, 80, 20, 120, 500, True)],
+    ("size", "percent", "low", "high", "run_tokens", "seen", "hot"),
+    [(3, 90, 1, 40, 10**6, 6, 10**3), (5, 80, 5, 200, 10**6, 3, 2), (3, 90, 60, 200, 900, 10**6, 2), (5, 80, 20, 120, 500, 2, 10**3)],
 )
-def test_components_against_all_pairs(spark, monkeypatch, size, percent, low, high, run_tokens, skip_common):
-    monkeypatch.setattr(D, "COMMON", 4)  # a small corpus: what few texts share is common
+def test_components_against_all_pairs(spark, monkeypatch, size, percent, low, high, run_tokens, seen, hot):
+    monkeypatch.setattr(D, "SEEN", seen)  # a small corpus: what few texts share is common, and few links make a hot centre
+    monkeypatch.setattr(D, "HOT_DEGREE", hot)
     texts = corpus(size * percent + low, 120, low, high)
     rows = [(i * 3 % 121, t) for i, t in enumerate(texts)] + [(200, None), (201, ""), (202, " \n"), (203, "One Two"), (204, "one two"), (205, "one"), (None, "one two")]
-    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).selectExpr("*", "1 AS node", "2 AS block", "3 AS n")
-    got = D.link_documents(df, size=size, percent=percent, run_tokens=run_tokens, skip_common=skip_common).collect()
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).selectExpr("*", "1 AS node", "2 AS block", "3 AS n", "4 AS token", "5 AS component_id")
+    got = D.link_documents(df, size=size, percent=percent, run_tokens=run_tokens).collect()
     assert len(got) == len(rows)
     assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == brute(rows, size, percent)
 
@@ -81,19 +82,44 @@ def test_repeated_ids_are_one_node(spark):
     assert D.keep_one(df.where("false"), size=3, percent=90).count() == 0
 
 
-def test_linked_sets_share_a_part():
+def test_linked_sets_share_kept_tokens():
     rng = np.random.default_rng(1)
-    for percent in (80, 90, 100):
-        parts = D.Parts(percent)
-        for _ in range(400):
-            n = int(rng.integers(1, 400))
-            a = rng.integers(0, 2**64, n, dtype=np.uint64)
-            keep = int(rng.integers(n * percent // 100, n + 1))
-            b = np.concatenate([a[:keep], rng.integers(0, 2**64, int(rng.integers(0, 1 + n * (100 - percent) // 100)), dtype=np.uint64)])
-            a, b = np.unique(a), np.unique(b)
+    for percent in (50, 80, 90, 100):
+        bounds, linked = D.Bounds(percent), 0
+        for _ in range(3000):
+            n = int(rng.integers(1, 60 if rng.random() < 0.5 else 400))
+            a = rng.permutation(2000)[:n]
+            b = np.concatenate([a[: int(rng.integers(n * percent // 100, n + 1))], 5000 + rng.permutation(2000)[: int(rng.integers(0, 1 + n * (100 - percent) // 100))] - rng.integers(0, 2) * 5000])
+            a, b = np.unique(a), np.unique(b)  # in order
             common = len(np.intersect1d(a, b))
-            if 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
-                assert set(parts.of(a).tolist()) & set(parts.of(b).tolist())
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                linked += 1
+                share = len(np.intersect1d(a[: bounds.kept(len(a))], b[: bounds.kept(len(b))]))
+                assert share >= max(bounds.least(len(a)), bounds.least(len(b))) >= 1
+        assert linked > 300
+
+
+def test_shared_passages_name_no_tokens(spark):
+    """Texts that share half of their words are in no block, those that link are."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*passage, *(f"w{rng.randrange(10**9)}" for _ in range(60))]) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[3] + " more"])], "doc_id bigint, text string")
+    classes = spark.createDataFrame([(i, len(t.split()) - 4) for i, t in enumerate([*texts, texts[3] + " more"])], "rep bigint, n_shingles bigint")
+    got = D.candidate_edges(df, classes, np.empty(0, np.uint64), size=5, percent=80).collect()
+    assert {tuple(r) for r in got} == {(40, 3)}
+
+
+def test_keep_one_with_clashing_columns_and_ties(spark):
+    text = " ".join(f"a{i}" for i in range(30))
+    names = ("maybe", "n", "component_id", "_id", "id", "row", "empty", "n_shingles", "_bits")
+    rows = [(5, text, "x"), (7, text, "y"), (9, "b " + text, "w"), (9, "b " + text, "v"), (9, "", "u"), (None, text, "t"), (11, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, k string").selectExpr("*", *(f"k AS {name}" for name in names))
+    kept = D.keep_one(df.where("doc_id <> 7 or doc_id is null"), size=5, percent=80)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["k"], r["maybe"], r["component_id"]) for r in kept.collect()) == [(0, *"ttt"), (5, *"xxx"), (9, *"uuu"), (11, *"sss")]
+    two = D.keep_one(df.where("doc_id in (9, 11)"), size=5, percent=80)
+    assert sorted((r["doc_id"], r["k"]) for r in two.collect()) == [(9, "u"), (9, "v"), (11, "s")]
 
 
 def test_signature_tree_against_all_pairs():
