@@ -16,7 +16,8 @@ A window that reaches both ends of its halves is simply their encoding, so the r
 The vocabulary is read from a tokenizer file of the tokenizers library on the driver and broadcast (a few MB).
 
 Edge cases: null and empty texts have no tokens; the special token in a text is that token, as in the library; rows are
-independent, so repeated rows and ties change nothing; extra columns are ignored; an empty table gives an empty result.
+independent, so repeated rows and ties change nothing; extra columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexweave.llm.common import map_batches, written
+from lexweave.llm.common import ROW, field_of, map_batches, written
 
 #: Characters of a leaf of the tree.
 LEAF = 2048
@@ -69,7 +70,7 @@ class Codec:
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
         self.slow = Tokenizer.from_str(tokenizer_json)
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
-        self.divider = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.divider = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.leaf = leaf
 
     def _direct(self, text: str) -> list[int]:
@@ -81,16 +82,22 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if self.divider is None or not any(content in text for content in self.special):
-            return self.concatenated(text, self.leaves(text))
         out: list[int] = []
-        for part in self.divider.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out += self.concatenated(part, self.leaves(part))
+        for start, end, special in self.sections(text):
+            out += self.concatenated(text, self.leaves(text, start, end)) if special is None else [special]
         return out
 
+    def sections(self, text: str) -> Iterator[tuple[int, int, int | None]]:
+        """(start, end, special token) of the consecutive sections of a text; None: text between special tokens."""
+        at = 0
+        for m in self.divider.finditer(text) if self.divider is not None else ():
+            if m.start() > at:
+                yield at, m.start(), None
+            yield *m.span(), self.special[m[0]]
+            at = m.end()
+        if at < len(text):
+            yield at, len(text), None
+
     def leaves(self, text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int, list[int]]]:
         """(start, end, tokens) of the leaves of text[start:end], halved until they are short."""
         cuts = [(start, len(text) if end is None else end)]
@@ -184,18 +191,6 @@ def certain(text: str, p: int) -> bool:
     return x != "'" and x.isascii() and y.isascii() and not y.isspace() and kind_of(x) != kind_of(y)
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def codec_of(shared) -> Codec:
-    """The codec of a broadcast tokenizer file; a worker builds it once."""
-    key = hash(shared.value)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
-
-
 def tokenizer_file(df: DataFrame, path: str):
     """Broadcast of the file's text: the size of a vocabulary, whatever the input."""
     with open(path, encoding="utf-8") as file:
@@ -214,52 +209,55 @@ def encode(documents: DataFrame, path: str, *keep: str, finish: Finish = lambda
     head = ", ".join(f"`{c}` {fields[c]}" for c in kept)
     names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", columns)]
 
-    def rows(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+    def rows(before: list[pa.Array], found: list[tuple]) -> pa.RecordBatch:
         values = list(zip(*found)) if found else [()] * len(names)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, kind) for v, kind in zip(values, kinds))], names=[*kept, *names])
+        return pa.RecordBatch.from_arrays([*before, *(pa.array(v, kind) for v, kind in zip(values, kinds))], names=[*kept, *names])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared)
+        codec = Codec(shared.value)
         for batch in batches:
-            yield rows(batch, [finish(codec, codec.encode(text)) for text in batch.column("text").to_pylist()])
+            yield rows([batch.column(c) for c in kept], [finish(codec, codec.encode(text)) for text in batch.column("text").to_pylist()])
 
     source = documents.select(*kept, "text") if "text" not in kept else documents.select(*kept)
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     usual = map_batches(source.where(size <= task_bytes), short, f"{head}, {columns}")
-    long = written(source.where(size > task_bytes).withColumn("_row", F.monotonically_increasing_id()), "long-texts")
+    numbered = source.where(size > task_bytes).select(F.struct(*kept).alias(ROW), "text", F.monotonically_increasing_id().alias("number"))
+    long = written(numbered, "long-texts")
     if long.isEmpty():
         return usual
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(shared.value)
         for batch in batches:
-            for row, text in zip(batch.column("_row").to_pylist(), batch.column("text").to_pylist()):
-                for at in range(0, len(text), task_chars):
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([at], pa.int64()), pa.array([text[at : at + task_chars]])], names=["_row", "at", "part"])
+            for number, text in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist()):
+                for start, end, special in codec.sections(text):
+                    for at in range(start, end, task_chars) if special is None else ():
+                        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([at], pa.int64()), pa.array([text[at : min(end, at + task_chars)]])], names=["number", "at", "part"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared)
+        codec = Codec(shared.value)
         for batch in batches:
             parts = batch.column("part").to_pylist()
             found = [codec.concatenated(part, codec.leaves(part)) for part in parts]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("at"), pa.array(found, pa.list_(pa.int32()))], names=["_row", "at", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("number"), batch.column("at"), pa.array(found, pa.list_(pa.int32()))], names=["number", "at", "tokens"])
 
-    parts = map_batches(map_batches(long.select("_row", "text"), cut, "_row bigint, at bigint, part string").repartition("_row", "at"), encoded, "_row bigint, at bigint, tokens array<int>")
+    parts = map_batches(map_batches(long.select("number", "text"), cut, "number bigint, at bigint, part string").repartition("number", "at"), encoded, "number bigint, at bigint, tokens array<int>")
     # a document's tokens meet in one task, as they are one value of the result
-    whole = parts.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "tokens"))).alias("parts"))
+    whole = parts.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("at", "tokens"))).alias("parts"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared)
+        codec = Codec(shared.value)
         for batch in batches:
             found = []
             for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
-                if any(content in text for content in codec.special):
-                    ids = codec.encode(text)  # the special token divides the text elsewhere
-                else:
-                    ids = codec.concatenated(text, [(p["at"], min(len(text), p["at"] + task_chars), p["tokens"]) for p in parts])
+                ids, tokens = [], {p["at"]: p["tokens"] for p in parts or ()}
+                for start, end, special in codec.sections(text):
+                    own = [(at, min(end, at + task_chars), tokens[at]) for at in range(start, end, task_chars)] if special is None else ()
+                    ids += codec.concatenated(text, own) if special is None else [special]
                 found.append(finish(codec, ids))
-            yield rows(batch, found)
+            yield rows([field_of(batch, c) for c in kept], found)
 
-    return usual.unionByName(map_batches(long.join(whole, "_row"), joined, f"{head}, {columns}"))
+    return usual.unionByName(map_batches(long.join(whole, "number", "left"), joined, f"{head}, {columns}"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -267,7 +265,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     shared = tokenizer_file(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared)
+        codec = Codec(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -6,23 +6,25 @@ substring of some item. Where that length reaches `window`, all of its words are
 than a window counts where all of it occurs.
 
 The automaton is broadcast. Its size is proven before: items are dealt into blocks of at most
-`max_block_words` words, each with its own automaton, and a benchmark of several blocks is scanned block by
-block with the results merged per row.
+`max_block_words` words, each with its own automaton. With several blocks a task gathers texts of a bounded size and
+runs them through one automaton after the other, so that it holds one at a time whatever the benchmark's size.
 
 Edge cases: null and empty texts have no words; items with a null id or without words have no windows;
-repeated items count once per id; texts are streamed whole, whatever their length; extra columns are ignored.
+repeated items count once per id; an item longer than a block is a block of its own; texts are streamed whole, whatever
+their length; extra columns are ignored, whatever their names; empty tables give empty results and no windows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lexweave.llm.common import map_batches
+from lexweave.llm.common import ROW, field_of, map_batches, quoted, whole_row
 
 #: Words of an item that make up a window.
 WINDOW = 10
@@ -30,6 +32,9 @@ WINDOW = 10
 #: Words of benchmark items in one broadcast automaton (some 100 MB in a Python worker at most).
 MAX_BLOCK_WORDS = 100_000
 
+#: Bytes of texts that a task gathers before it runs them through several automata.
+GATHERED_BYTES = 16 << 20
+
 #: A document with a larger part of its words in benchmark passages goes as a whole.
 MAX_COVERAGE = 0.8
 
@@ -185,33 +190,71 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in spans]
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, *keep: str, window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
-    """Per row of documents: the columns named by keep, n_words, n_hit, items (sorted as strings) and spans (code points).
+def loader(shared) -> Callable[[], SuffixAutomaton]:
+    """Loads a broadcast automaton anew at each call, so that it is gone when the caller has done with it."""
+    path = getattr(shared, "_path", None)
+    return lambda: shared.load_from_path(path) if path else shared.value
+
+
+def scanned(texts: list[list[bytes]], loaders: list[Callable[[], SuffixAutomaton]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    """Spans and items of each text over all automata, one of which is held at a time."""
+    found: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in texts]
+    for load in loaders:
+        automaton = load()
+        for words, (spans, items) in zip(texts, found):
+            own, which = automaton.scan(words)
+            spans += own
+            items |= which
+        del automaton
+    return [(merged(spans) if len(loaders) > 1 else spans, items) for spans, items in found]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of `least` bytes or more."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, *keep: str, window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS, gathered_bytes: int = GATHERED_BYTES) -> DataFrame:
+    """Per row of documents: the columns named by keep (doc_id if none is), n_words, n_hit, items (sorted as strings) and
+    spans (code points). The text is a column of its own, or part of ROW if that is kept.
 
     A window is `window` consecutive words of an item, or a whole shorter item; n_hit counts the words inside any
     occurrence of one.
     """
     spark = documents.sparkSession
     automata = [spark.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in blocks(benchmark, max_block_words)]
-    kept = ["doc_id", *(c for c in keep if c != "doc_id")]
-    source = documents.select(*kept, *(["text"] if "text" not in kept else []))
-    out = documents.select(*kept).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-
-    def scan(batches):
-        tries = [a.value for a in automata]
-        for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                found = [a.scan(words) for a in tries]
-                hit = found[0][0] if len(found) == 1 else merged([s for f in found for s in f[0]])
-                n_words.append(len(words))
-                n_hit.append(sum(end - start for start, end in hit))
-                items.append(sorted(set().union(*(f[1] for f in found))))
-                spans.append(char_spans(text or "", hit))
-            extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *extra], names=[*kept, "n_words", "n_hit", "items", "spans"])
+    kept = keep or ("doc_id",)
+    source = documents.select(*kept, *(["text"] if ROW not in kept else []))
+    spans_type = "array<struct<start:bigint,end:bigint>>"
+    schema = StructType([*documents.select(*kept).schema, *StructType.fromDDL(f"n_words bigint, n_hit bigint, items array<string>, spans {spans_type}")])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(automata) == 1:
+            one = automata[0].value
+            loaders, least = [lambda: one], 0
+        else:
+            loaders, least = [loader(a) for a in automata], gathered_bytes
+        for group in gathered(batches, least):
+            texts = [(field_of(batch, "text") if ROW in kept else batch.column("text")).to_pylist() for batch in group]
+            words = [words_of(text) for own in texts for text in own]
+            results = iter(zip(words, scanned(words, loaders)))
+            for batch, own in zip(group, texts):
+                n_words, n_hit, items, spans = [], [], [], []
+                for text, (words, (hit, which)) in zip(own, results):
+                    n_words.append(len(words))
+                    n_hit.append(sum(end - start for start, end in hit))
+                    items.append(sorted(which))
+                    spans.append(char_spans(text or "", hit))
+                extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *extra], names=[*kept, "n_words", "n_hit", "items", "spans"])
 
     return map_batches(source, scan, schema)
 
@@ -231,11 +274,10 @@ def without_spans(text, spans):
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """documents without contaminated passages: spans of `window` words or more (or whole short items) are cut out of
-    the text, and a document with more than `max_coverage` of its words in them goes as a whole. Columns stay; others
-    are untouched, n_chars (if there) follows the new text."""
-    found = find_contamination(documents, benchmark, *documents.columns, window=window)
-    left = found.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    out = left.withColumn("text", without_spans(F.col("text"), F.col("spans")))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    the text, and a document with more than `max_coverage` of its words in them goes as a whole. Columns stay, whatever
+    their names; others are untouched, n_chars (if there) follows the new text."""
+    rows = documents.select(whole_row(documents))
+    left = find_contamination(rows, benchmark, ROW, window=window).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    new = left.withColumn("new_text", without_spans(F.col(f"{ROW}.text"), F.col("spans")))
+    changed = {"text": F.col("new_text"), "n_chars": F.when(F.col("n_hit") > 0, F.char_length("new_text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col(f"{ROW}.n_chars")) if "n_chars" in documents.columns else None}
+    return new.select(*((changed[c] if c in changed else F.col(f"{ROW}.{quoted(c)}")).alias(c) for c in documents.columns))

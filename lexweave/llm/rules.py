@@ -20,8 +20,9 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lexweave.llm.common import map_batches, written
+from lexweave.llm.common import ROW, field_of, map_batches, whole_row, written
 
 #: Ratio of neighbouring buckets: quantiles are exact to 2 %.
 GAMMA = 1.02
@@ -91,13 +92,13 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def with_measures(documents: DataFrame, *keep: str) -> DataFrame:
-    """The columns named by keep and the measures of each row's text."""
-    source = documents.select(*keep, *(["text"] if "text" not in keep else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema) + "".join(f", {m} bigint" for m in MEASURES)
+    """The columns named by keep and the measures of each row's text, which is part of ROW if that is kept."""
+    source = documents.select(*keep, *(["text"] if ROW not in keep else []))
+    schema = StructType([*documents.select(*keep).schema, *(StructField(m, LongType()) for m in MEASURES)])
 
     def measure(batches):
         for batch in batches:
-            rows = [measures(text) for text in batch.column("text").to_pylist()]
+            rows = [measures(text) for text in (field_of(batch, "text") if ROW in keep else batch.column("text")).to_pylist()]
             columns = list(zip(*rows)) if rows else [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in columns)], names=[*keep, *MEASURES])
 
@@ -171,9 +172,10 @@ def judged(measured: DataFrame, like: DataFrame | None = None, *, gamma: float =
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The rows of documents that the rules keep, with the same columns.
+    """The rows of documents that the rules keep, with the same columns, whatever their names.
 
     Texts are measured twice, for the sketches and for the verdicts: to keep them with their measures in between would
     write the whole input again.
     """
-    return judged(with_measures(documents, *documents.columns), with_measures(documents, "lang", "source")).where("kept").select(*documents.columns)
+    rows = documents.select(whole_row(documents), "lang", "source")
+    return judged(with_measures(rows, ROW, "lang", "source"), with_measures(documents, "lang", "source")).where("kept").select(f"{ROW}.*")
