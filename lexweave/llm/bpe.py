@@ -26,6 +26,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import tiktoken
@@ -68,11 +69,16 @@ class Codec:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         plain = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
-        self.slow = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer_json = tokenizer_json
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
         self.divider = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.leaf = leaf
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        """Made for the first text that needs it."""
+        return Tokenizer.from_str(self.tokenizer_json)
+
     def _direct(self, text: str) -> list[int]:
         """Encoding of a short text without special tokens."""
         if PLAIN.fullmatch(text):

@@ -13,8 +13,8 @@ Positions are code points of the formatted conversation, end exclusive. The loss
 assistant turns, as it stands between the frame and the marker.
 
 Edge cases: a null text, role or part is empty, null or empty parts make an empty content; an unknown type is
-treated as text if it has one and as a document otherwise; turns sort by turn (null first), then role, then content,
-so ties and repeated rows have a fixed order; a null conv_id is a conversation of its own; an empty table gives no
+treated as text if it has one and as a document otherwise; turns sort by turn (null first), then role, then content
+(unescaped texts and references), so ties and repeated rows have a fixed order; a null conv_id is a conversation of its own; an empty table gives no
 conversation; extra columns are ignored.
 """
 
@@ -81,11 +81,13 @@ def format_chat(messages: DataFrame) -> DataFrame:
         "conv_id",
         F.col("turn").cast("bigint").alias("turn"),
         (F.coalesce("role", F.lit("")) == "assistant").alias("loss"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.array_join(F.transform(parts, lambda p: F.when(_kind(p) == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.coalesce(p["ref"], F.lit("")))), "").alias("said"),
         F.concat(head, content, F.lit(END)).alias("piece"),
         F.char_length(head).cast("bigint").alias("before"),
         F.transform(F.filter(parts, lambda p: _kind(p) != "text"), lambda p: _attachment(F.col("turn").cast("bigint"), p)).alias("attached"),
     ).withColumn("size", F.char_length("piece").cast("bigint"))
-    so_far = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "said", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = one.withColumn("end", F.sum("size").over(so_far)).withColumn("start", F.col("end") - F.col("size"))
     rows = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "before", "loss", "piece", "attached"))).alias("rows"))
     loss = lambda r, value: F.when(r["loss"], value)

@@ -9,7 +9,8 @@ widened to the article or main element around it, if there is one; every line of
 text, however short.
 
 Edge cases: null, empty and text-free pages give an empty text; broken markup (unclosed elements, cut character
-references, a page that ends anywhere) is read as far as it goes; pages are read whole; rows are independent, so
+references, a page that ends anywhere) is read as far as it goes, in memory that grows in line with the page however
+deep its elements are nested; pages are read whole; rows are independent, so
 repeated rows and ties change nothing; extra columns are ignored.
 """
 
@@ -17,8 +18,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -63,7 +65,7 @@ class Line:
     tags: int
     hidden: bool
     mark: int
-    path: tuple[int, ...]
+    section: int
 
 
 @dataclass
@@ -72,7 +74,7 @@ class Open:
     hidden: bool
     mark: int
     article: bool
-    path: tuple[int, ...] = field(default=())
+    section: int
 
 
 class Lines(HTMLParser):
@@ -81,10 +83,13 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[Open] = [Open("", False, 0, False, (0,))]
+        self.open: list[Open] = [Open("", False, 0, False, 0)]
+        #: How many elements of each name are open.
+        self.count: Counter[str] = Counter()
         self.data: list[str] = []
         self.tags = 0
-        self.sections = 0
+        #: For each sectioning element in the order of their starts (0: the page) the one around it.
+        self.outer: list[int] = [0]
         self.articles: set[int] = set()
         #: For each marked element (0: none) the marked element around it.
         self.around: list[int] = [0]
@@ -94,7 +99,7 @@ class Lines(HTMLParser):
         self.data.clear()
         if text:
             top = self.open[-1]
-            self.lines.append(Line(text, max(1, self.tags), top.hidden, top.mark, top.path))
+            self.lines.append(Line(text, max(1, self.tags), top.hidden, top.mark, top.section))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -113,13 +118,14 @@ class Lines(HTMLParser):
             if tag not in WHOLE and self._marked(attrs, top.article):
                 self.around.append(mark)
                 mark = len(self.around) - 1
-        path = top.path
+        section = top.section
         if tag in SECTION:
-            self.sections += 1
-            path = (*path, self.sections)
+            self.outer.append(section)
+            section = len(self.outer) - 1
             if tag in ("article", "main"):
-                self.articles.add(self.sections)
-        self.open.append(Open(tag, hidden, mark, top.article or tag in ("article", "main"), path))
+                self.articles.add(section)
+        self.open.append(Open(tag, hidden, mark, top.article or tag in ("article", "main"), section))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -128,14 +134,20 @@ class Lines(HTMLParser):
 
     def _close_open(self, names: frozenset[str]) -> None:
         """Close the innermost of these elements if only inline elements stand inside it."""
+        if not any(self.count[name] for name in names):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in names:
-                del self.open[i:]
+                self._close_from(i)
                 return
             if tag in BLOCK:
                 return
 
+    def _close_from(self, i: int) -> None:
+        self.count.subtract(element.tag for element in self.open[i:])
+        del self.open[i:]
+
     @staticmethod
     def _invisible(attrs: list[tuple[str, str | None]]) -> bool:
         return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and re.search(r"display\s*:\s*none", value)) for name, value in attrs)
@@ -155,9 +167,11 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._end_line()
         self.tags += 1
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._close_from(i)
                 return
             if tag not in BLOCK and self.open[i].tag in BLOCK:
                 return
@@ -178,16 +192,20 @@ def parsed(html: str) -> Lines:
     return parser
 
 
-def region_of(paths: list[tuple[int, ...]], articles: set[int]) -> tuple[int, ...]:
-    """The path that all these paths begin with, up to its innermost article if it has one."""
-    first, last = min(paths), max(paths)
-    shared = 0
-    while shared < min(len(first), len(last)) and first[shared] == last[shared]:
-        shared += 1
-    for k in range(shared, 0, -1):
-        if first[k - 1] in articles:
-            return first[:k]
-    return first[:shared]
+def region_of(sections: list[int], page: Lines) -> range:
+    """The numbers of the smallest section around all of these, or of the innermost article around that, and of all inside
+    it. Numbers follow the starts of elements, so what is inside an element has the numbers behind its own."""
+    ends = list(range(len(page.outer)))
+    for section in range(len(ends) - 1, 0, -1):
+        ends[page.outer[section]] = max(ends[page.outer[section]], ends[section])
+    region, last = min(sections), max(sections)
+    while ends[region] < last:
+        region = page.outer[region]
+    around = region
+    while around and around not in page.articles:
+        around = page.outer[around]
+    region = around or region
+    return range(region, ends[region] + 1)
 
 
 def hide_marked(page: Lines) -> None:
@@ -251,8 +269,8 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smoothed([0.0 if line.hidden else math.log1p(len(line.text) / line.tags) for line in lines])
     border = threshold([r for r, line in zip(ratios, lines) if not line.hidden])
-    region = region_of([line.path for r, line in zip(ratios, lines) if not line.hidden and r >= border], page.articles)
-    return "\n".join(line.text for line in visible if line.path[: len(region)] == region)
+    region = region_of([line.section for r, line in zip(ratios, lines) if not line.hidden and r >= border], page)
+    return "\n".join(line.text for line in visible if line.section in region)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexweave.llm.common import table, written
-from lexweave.llm.rules import GAMMA, MIN_GROUP, RULES, judged, with_measures
+from lexweave.llm.rules import GAMMA, PRIOR, RULES, judged, with_measures
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,14 @@ def _quartiles(by: str) -> str:
     FROM (SELECT {group}stat, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY {group}stat"""
 
 
+def _drawn(n: str, own: str, above: str) -> str:
+    return f"(CAST({n} AS DOUBLE) * {own} + {float(PRIOR)!r} * {above}) / (CAST({n} AS DOUBLE) + {float(PRIOR)!r})"
+
+
+def _of(q: str) -> str:
+    return f"{_drawn('own.size', f'own.{q}', '(' + _drawn('lng.size', f'lng.{q}', f'corp.{q}') + ')')} AS {q}"
+
+
 _STATS = "[{'stat': 'symbols', 'v': symbols}, {'stat': 'repeats', 'v': repeats}, {'stat': 'word_length', 'v': word_length}, {'stat': 'upper', 'v': upper}]"
 _OUTSIDE = " OR ".join(f"coalesce({stat} {'>' if side == 'high' else '<'} {stat}_{side}, false)" for stat, side, *_ in RULES)
 
@@ -57,9 +65,7 @@ own AS ({_quartiles('lang, source')}),
 lng AS ({_quartiles('lang')}),
 corp AS ({_quartiles('')}),
 chosen AS (
-  SELECT own.lang, own.source, own.stat,
-    CASE WHEN own.size >= {MIN_GROUP} THEN own.q25 WHEN lng.size >= {MIN_GROUP} THEN lng.q25 ELSE corp.q25 END AS q25,
-    CASE WHEN own.size >= {MIN_GROUP} THEN own.q75 WHEN lng.size >= {MIN_GROUP} THEN lng.q75 ELSE corp.q75 END AS q75
+  SELECT own.lang, own.source, own.stat, {_of('q25')}, {_of('q75')}
   FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.stat = lng.stat JOIN corp ON corp.stat = own.stat),
 lim AS (SELECT lang, source, {', '.join(_fence(*rule) for rule in RULES)} FROM chosen GROUP BY lang, source),
 judged AS (

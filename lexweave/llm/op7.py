@@ -32,9 +32,9 @@ _LENGTH = "length(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[',
 SQL = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {EXTRA}))
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(TURN) + len(END) + 1} + {_LENGTH.format("replace(role, chr(10), '&#10;')").replace("'&', '&amp;'", "'&', '&amp;'")} + {_LENGTH.format("text")}) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """

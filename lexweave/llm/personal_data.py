@@ -12,15 +12,16 @@ spans always stay.
 What the fit gathers from the corpus are counts of (kind, votes, shape), of which there can only be a fixed number,
 whatever the input.
 
-Positions are code points, end exclusive. Edge cases: null and empty texts have no spans; texts are read whole with
-patterns that need linear time; rows are independent, so repeated rows and ties change nothing; without candidates no
+Positions are code points, end exclusive. Edge cases: null and empty texts have no spans; texts are read whole in
+linear time, however long a span or however many candidates there are; rows are independent, so repeated rows and ties change nothing; without candidates no
 span is added; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,13 +45,13 @@ DIGIT = re.compile(r"[0-9]")
 
 # Patterns of further candidates: kind, strings of which each match holds one (a text without them is not searched), pattern.
 LOOSE = (
-    ("email", ("(at)", "[at]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++")),
+    ("email", ("(at)", "[at]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++")),
     ("ip", (":",), re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("phone", tuple("0123456789"), re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-.][0-9]{4}(?![0-9-])")),
     ("card", tuple("0123456789"), re.compile(r"(?<![0-9-])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9-])")),
     ("ssn", tuple("0123456789"), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("secret", ("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
-    ("secret", ("=", ":"), re.compile(r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?\"?([A-Za-z0-9+/_.~-]{6,128})")),
+    ("secret", ("=", ":"), re.compile(r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?\"?([A-Za-z0-9+/_.~-]{6,}+)")),
 )
 
 # Gazetteers (fixed values).
@@ -124,16 +125,29 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 def candidates(text: str | None) -> list[tuple[str, int, int, bool, str, str]]:
     """(kind, start, end, base, votes, shape): base spans and further candidates that none of the same kind overlaps."""
-    found = [(kind, a, b, True) for kind, a, b in base_spans(text)]
-    if text:
-        for kind, needs, pattern in LOOSE:
-            if not any(need in text for need in needs):
-                continue
-            for m in pattern.finditer(text):
-                a, b = m.span(1) if kind == "secret" and m.re.groups else m.span()
-                if not any(k == kind and x < b and a < y for k, x, y, _ in found):
-                    found.append((kind, a, b, False))
-    return [(kind, a, b, base, votes(text, kind, a, b, base), shape(text, a, b)) for kind, a, b, base in found]
+    if not text:
+        return []
+    found: dict[str, list[tuple[int, int, bool]]] = {}
+    for kind, a, b in base_spans(text):
+        found.setdefault(kind, []).append((a, b, True))
+    for kind, needs, pattern in LOOSE:
+        if any(need in text for need in needs):
+            spans = (m.span(1) if kind == "secret" and m.re.groups else m.span() for m in pattern.finditer(text))
+            known = found.get(kind, [])
+            if new := apart(spans, known):
+                found[kind] = sorted([*known, *((a, b, False) for a, b in new)])
+    return [(kind, a, b, base, votes(text, kind, a, b, base), shape(text, a, b)) for kind in KINDS for a, b, base in found.get(kind, ())]
+
+
+def apart(spans: Iterable[tuple[int, int]], known: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of the known ones; both are disjoint and in order, so one pass over both tells."""
+    out, i = [], 0
+    for a, b in spans:
+        while i < len(known) and known[i][1] <= a:
+            i += 1
+        if i == len(known) or known[i][0] >= b:
+            out.append((a, b))
+    return out
 
 
 def votes(text: str, kind: str, a: int, b: int, base: bool) -> str:
@@ -231,10 +245,10 @@ def pattern_counts(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(kind, votes, shape) for text in batch.column("text").to_pylist() for kind, _, _, _, votes, shape in candidates(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(3)], names=["kind", "votes", "shape"])
+            found = Counter((kind, votes, shape) for text in batch.column("text").to_pylist() for kind, _, _, _, votes, shape in candidates(text))
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.string()) for i in range(3)), pa.array(found.values(), pa.int64())], names=["kind", "votes", "shape", "n"])
 
-    return map_batches(documents.select("text"), run, "kind string, votes string, shape string").groupBy("kind", "votes", "shape").agg(F.count(F.lit(1)).alias("n"))
+    return map_batches(documents.select("text"), run, "kind string, votes string, shape string, n bigint").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n"))
 
 
 def fit(documents: DataFrame) -> SpanModel:
@@ -297,11 +311,10 @@ def redacted(text: str, spans: list[tuple[str, int, int, bool, float]]) -> str:
 
 
 def redact(documents: DataFrame, model: SpanModel) -> DataFrame:
-    """documents with the personal data in their texts replaced. Columns stay; n_chars (if there) follows the new text
+    """documents with the personal data in their texts replaced. Columns stay, whatever their names; n_chars (if there) follows the new text
     where it changed."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,4 +327,4 @@ def redact(documents: DataFrame, model: SpanModel) -> DataFrame:
                 columns["n_chars"] = pa.array([n if a is b else len(b) for n, a, b in zip(before.to_pylist(), texts, new)], before.type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return map_batches(documents, run, schema)
+    return map_batches(documents, run, documents.schema)

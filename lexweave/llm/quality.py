@@ -64,7 +64,7 @@ def statistics(text: str | None) -> list[float]:
         root(int(chars[48:58].sum()), len(data)),
         math.log(len(counts)) / math.log(n) if n > 1 else 1.0,
         root(adjacent, n),
-        root(max(counts.values()), n) if n > 20 else 0.3,
+        root(max(counts.values()) - 1, n + 20),
         root(len(lines) - len(set(lines)), len(lines)),
         math.log1p(n / max(len(lines), 1)),
         root(int((lengths < 4).sum()), n),
@@ -85,11 +85,11 @@ def with_statistics(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class Discriminant:
-    """A fitted model: for each class its mean, the inverse of its Cholesky factor, and its log normaliser."""
+    """A fitted model: for each class its mean, its Cholesky factor, and its log normaliser."""
 
     prior: float
     means: tuple[np.ndarray, ...] = ()
-    inverse: tuple[np.ndarray, ...] = ()
+    factors: tuple[np.ndarray, ...] = ()
     constant: tuple[float, ...] = ()
     temperature: float = TEMPERATURE
 
@@ -97,7 +97,7 @@ class Discriminant:
         """Probability of class 1 for each row of x."""
         if not self.means:
             return np.full(len(x), self.prior)
-        density = [c - 0.5 * (((x - m) @ li.T) ** 2).sum(axis=1) for m, li, c in zip(self.means, self.inverse, self.constant)]
+        density = [c - 0.5 * (np.linalg.solve(factor, (x - m).T) ** 2).sum(axis=0) for m, factor, c in zip(self.means, self.factors, self.constant)]
         margin = (density[1] - density[0]) / self.temperature + math.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
@@ -127,14 +127,14 @@ def fit(vectors: DataFrame, labels: DataFrame, *, to_pooled: float = TO_POOLED,
     means = [sums[k, 1 : d + 1] / n[k] for k in (0, 1)]
     scatter = [sums[k, d + 1 :].reshape(d, d) / n[k] - np.outer(means[k], means[k]) for k in (0, 1)]
     pooled = (n[0] * scatter[0] + n[1] * scatter[1]) / n.sum()
-    inverse, constant = [], []
+    factors, constant = [], []
     for k in (0, 1):
         cov = (1 - to_pooled) * scatter[k] + to_pooled * pooled
         cov = (1 - to_identity) * cov + to_identity * (np.trace(pooled) / d + 1e-9) * np.eye(d)
         factor = np.linalg.cholesky(cov)
-        inverse.append(np.linalg.inv(factor))
+        factors.append(factor)
         constant.append(-float(np.log(np.diag(factor)).sum()))
-    return Discriminant(prior, tuple(means), tuple(inverse), tuple(constant))
+    return Discriminant(prior, tuple(means), tuple(factors), tuple(constant))
 
 
 def score(vectors: DataFrame, model: Discriminant) -> DataFrame:

@@ -4,8 +4,9 @@ Each document gets a few statistics of its whole text. Their distribution is kep
 in a log-bucket quantile sketch: a value falls in bucket ceil(log(value) / log(GAMMA)), and a sketch is the count
 of each bucket. Sketches merge by adding counts, so they are built by partial aggregation; merging the sources of
 a language gives the sketch of the language, and merging languages that of the corpus. A quantile is exact to
-within GAMMA. Thresholds are fences around the quartiles of a group, so they follow each source; a group too
-small to tell takes those of its language, or of the corpus. Documents outside a fence, or that fail the base
+within GAMMA. Thresholds are fences around the quartiles of a group, so they follow each source; the quartiles are
+drawn towards those of the language, and these towards the corpus's, by the weight of PRIOR documents, so a small
+group has its language's fences and a growing one comes to its own without a step. Documents outside a fence, or that fail the base
 rules, go.
 
 Edge cases: a null text has no words and fails the base rules; a null language or source is a group of its own;
@@ -27,8 +28,8 @@ from lexweave.llm.common import ROW, field_of, map_batches, whole_row, written
 #: Ratio of neighbouring buckets: quantiles are exact to 2 %.
 GAMMA = 1.02
 
-#: Fewest documents of a group that set their own thresholds.
-MIN_GROUP = 50
+#: Documents that the group above counts for in the quartiles of a group.
+PRIOR = 50
 
 #: Groups whose thresholds are broadcast, at most (some 100 bytes each); beyond, Spark joins them by shuffle.
 MAX_BROADCAST_GROUPS = 100_000
@@ -37,7 +38,7 @@ MAX_BROADCAST_GROUPS = 100_000
 #: (as a part of it, and absolute), which keeps a group of nearly equal documents from rejecting its own.
 RULES = (
     ("symbols", "high", 6.0, 0.5, 0.10),
-    ("repeats", "high", 6.0, 0.5, 0.48),
+    ("repeats", "high", 6.0, 0.5, 0.35),
     ("word_length", "high", 6.0, 0.6, 1.0),
     ("word_length", "low", 6.0, 0.5, 1.0),
     ("upper", "high", 6.0, 0.5, 0.25),
@@ -141,27 +142,28 @@ def quartiles(sketch: DataFrame, *by: str, gamma: float = GAMMA) -> DataFrame:
     return ranked.groupBy(*by, "stat").agg(F.max("size").alias("size"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
 
 
-def thresholds(sketch: DataFrame, *, gamma: float = GAMMA, min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(sketch: DataFrame, *, gamma: float = GAMMA, prior: int = PRIOR) -> DataFrame:
     """One row for each (lang, source): a column for each rule with its fence."""
     own = quartiles(sketch, "lang", "source", gamma=gamma)
     lang = quartiles(sketch, "lang", gamma=gamma).select(F.col("lang").alias("l"), F.col("stat").alias("ls"), F.struct("size", "q25", "q50", "q75").alias("of_lang"))
     corpus = quartiles(sketch, gamma=gamma).select(F.col("stat").alias("cs"), F.struct("size", "q25", "q50", "q75").alias("of_corpus"))
     both = own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["stat"] == lang["ls"])).join(F.broadcast(corpus), F.col("stat") == F.col("cs"))  # corpus: a row for each statistic
-    q = F.when(F.col("size") >= min_group, F.struct("size", "q25", "q50", "q75")).when(F.col("of_lang.size") >= min_group, F.col("of_lang")).otherwise(F.col("of_corpus"))
-    chosen = both.select("lang", "source", "stat", q.alias("q"))
-    spread = F.col("q.q75") - F.col("q.q25")
+    drawn = lambda n, own, above: (n.cast("double") * own + F.lit(float(prior)) * above) / (n.cast("double") + F.lit(float(prior)))
+    of = lambda q: drawn(F.col("size"), F.col(q), drawn(F.col("of_lang.size"), F.col(f"of_lang.{q}"), F.col(f"of_corpus.{q}"))).alias(q)
+    chosen = both.select("lang", "source", "stat", of("q25"), of("q75"))
+    spread = F.col("q75") - F.col("q25")
     fences = []
     for stat, side, width, part, least in RULES:
-        quartile = F.col("q.q75") if side == "high" else F.col("q.q25")
+        quartile = F.col("q75") if side == "high" else F.col("q25")
         away = F.greatest(spread * width, quartile * part, F.lit(least))
         fences.append(F.max(F.when(F.col("stat") == stat, quartile + away if side == "high" else quartile - away)).alias(f"{stat}_{side}"))
     return chosen.groupBy("lang", "source").agg(*fences)
 
 
-def judged(measured: DataFrame, like: DataFrame | None = None, *, gamma: float = GAMMA, min_group: int = MIN_GROUP) -> DataFrame:
+def judged(measured: DataFrame, like: DataFrame | None = None, *, gamma: float = GAMMA, prior: int = PRIOR) -> DataFrame:
     """measured with base_failed and kept. measured has lang, source and the measures of with_measures; the thresholds are
     those of like, if it is given."""
-    limits = written(thresholds(sketches(measured if like is None else like, gamma=gamma), gamma=gamma, min_group=min_group), "rule-thresholds")
+    limits = written(thresholds(sketches(measured if like is None else like, gamma=gamma), gamma=gamma, prior=prior), "rule-thresholds")
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(f"{stat}_{side}").alias(f"_{stat}_{side}") for stat, side, *_ in RULES))
     if limits.count() <= MAX_BROADCAST_GROUPS:
         limits = F.broadcast(limits)

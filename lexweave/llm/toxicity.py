@@ -13,6 +13,7 @@ scores 0; texts are read whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -92,12 +93,11 @@ class NoisyOr:
                 if not words:
                     continue
                 z = bias + sum(map(memory.__getitem__, set(words)))
-                p = 1 / (1 + np.exp(-z)) if z > -30 else 0.0
-                if p > 1e-9:
-                    clean += np.log1p(-min(p, 1 - 1e-12))
-                    if p >= OFFENDING:
-                        found.append((m.start(), m.end(), float(p)))
-            return float(-np.expm1(clean)), found if known else _aligned(text, found, lower)
+                p = 1 / (1 + math.exp(-min(max(z, -700.0), 700.0)))
+                clean += math.log1p(-min(p, 1 - 1e-12))
+                if p >= OFFENDING:
+                    found.append((m.start(), m.end(), p))
+            return -math.expm1(clean), found if known else _aligned(text, found, lower)
 
         return score
 
