@@ -37,9 +37,9 @@ from lexweave.llm.common import ROW, Scratch, map_batches, whole_row
 from lexweave.llm.signature_tree import SignatureJoin
 
 #: Tokens of the sets that one task holds of one side of a join (8 bytes each).
-RUN_TOKENS = 2_000_000
+RUN_TOKENS = 500_000
 
-#: Sets of each run that are joined across all runs of a block.
+#: Sets of each run, in the mean, that go on to the next level of units.
 PIVOTS = 40
 
 #: Bits of the id bitmap that is broadcast to skip documents without a block: 16 for each id, 32 MB at most. Beyond that
@@ -394,10 +394,7 @@ def hot_links(scratch: Scratch, sized: DataFrame, hot: DataFrame, percent: int,
     placed = scratch.written(large.withColumn("bucket", F.floor(F.log("n") * 20)).join(cut, ["block", "bucket"]).select("block", named(in_run).alias("run"), "low", "high", "node", "n", "hashes"), "runs")
     runs = scratch.written(cut.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"), "bucket", "low", "high").select("block", named(F.col("piece")).alias("run"), "low", "high"), "run-list")
     own = placed.select("block", F.col("run").alias("i"), F.col("run").alias("j"), F.lit(0).alias("side"), "node", "hashes")
-    # the pivots of a bucket's runs meet by hash in units of bounded size, together with those of near sizes
-    share = F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(F.lit(1), F.floor(F.lit(run_tokens) / F.col("n") / PIVOTS)).cast("bigint")) == 0
-    pivots = placed.where(share).select("block", F.lit(-1).cast("bigint").alias("i"), F.floor(F.log("n") * 4).alias("j"), F.lit(0).alias("side"), "node", "hashes")
-    first = scratch.written(joined_units(own.unionByName(pivots), percent), "run-links")
+    first = scratch.written(joined_units(own.unionByName(pivots(placed, run_tokens)), percent), "run-links")
     roots = scratch.written(components(first), "run-roots")
     labelled = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     most = labelled.groupBy("block", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("block").agg(F.max_by("root", "size").alias("main"))
@@ -410,6 +407,22 @@ def hot_links(scratch: Scratch, sized: DataFrame, hot: DataFrame, percent: int,
     return first.unionByName(joined_units(asked.unionByName(against), percent))
 
 
+def pivots(placed: DataFrame, run_tokens: int) -> DataFrame:
+    """Units in which some sets of all runs of a block meet, those of near sizes together. Level by level a fixed part of
+    the sets goes on, chosen and dealt by hash, until what is left of a block fits in one unit; no unit is larger than a
+    run, and all levels together have no more sets than the runs."""
+    near = placed.withColumn("near", F.floor(F.log("n") * 4))
+    pieces = near.groupBy("block", "near").agg(F.ceil(F.sum("n") / run_tokens).cast("bigint").alias("pieces"))
+    each = F.greatest(F.lit(2), F.floor(F.lit(run_tokens / PIVOTS) / F.exp((F.col("near") + 1) / 4))).cast("double")
+    part = lambda level: F.pow(each, level.cast("double"))
+    left = lambda level: F.ceil(F.col("pieces") / part(level))
+    chosen = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    levels = F.filter(F.sequence(F.lit(1), F.lit(40)), lambda level: (chosen * part(level) < 1) & ((level == 1) | (left(level - 1) > 1)))
+    dealt = near.join(pieces, ["block", "near"]).select("block", "near", "pieces", "node", "hashes", F.explode_outer(levels).alias("level")).where("level is not null")
+    unit = F.col("near") * 1_000_000_000 + F.pmod(F.xxhash64("node", "level"), left(F.col("level")))
+    return dealt.select("block", (-F.col("level")).cast("bigint").alias("i"), unit.cast("bigint").alias("j"), F.lit(0).alias("side"), "node", "hashes")
+
+
 def link_documents(documents: DataFrame, *, size: int, percent: int, run_tokens: int = RUN_TOKENS, sampled: int = SAMPLED) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents link when 100 times the common shingles are at least
     `percent` times all their shingles; component_id is the smallest doc_id reachable by links."""

@@ -110,6 +110,16 @@ def test_shared_passages_name_no_tokens(spark):
     assert {tuple(r) for r in got} == {(40, 3)}
 
 
+def test_pivots_meet_in_bounded_units(spark):
+    from pyspark.sql import functions as F
+
+    placed = spark.range(40_000).select((F.col("id") % 2).alias("block"), F.col("id").alias("node"), F.lit(20).alias("n"), F.lit(b"").alias("hashes"))
+    units = D.pivots(placed, 10_000).groupBy("block", "i", "j").count().collect()
+    by_level = {level: [r["count"] for r in units if r["block"] == 0 and r["i"] == -level] for level in (1, 2, 3)}
+    assert len(by_level[1]) > 1 and len(by_level[2]) == 1 and not by_level[3]
+    assert all(r["count"] * 20 < 1.3 * 10_000 for r in units) and sum(r["count"] for r in units) < 10_000
+
+
 def test_keep_one_with_clashing_columns_and_ties(spark):
     text = " ".join(f"a{i}" for i in range(30))
     names = ("maybe", "n", "component_id", "_id", "id", "row", "empty", "n_shingles", "_bits")
