@@ -15,6 +15,8 @@ class EngineConfig:
     dictionary: str | None = None
     stopwords: str | None = None
     replacements: str | None = None
+    #: Parses of word forms (see operators.lexicon.read_lexicon); without it a token is its own lemma.
+    lexicon: str | None = None
     output: str | None = None
     #: Words of a segment where neither its file name nor its tokens should say.
     fallback_totals: dict[int, int] = field(default_factory=dict)
@@ -31,7 +33,7 @@ class EngineConfig:
     def problems(self) -> list[str]:
         """What is missing: every path is checked before anything runs."""
         found = []
-        for name, path in (("stop words", self.stopwords), ("replacements", self.replacements), ("dictionary", self.dictionary)):
+        for name, path in (("stop words", self.stopwords), ("replacements", self.replacements), ("lexicon", self.lexicon), ("dictionary", self.dictionary)):
             if path and not Path(path).exists():
                 found.append(f"{name} not found: {path}")
         for segment in self.segments:

@@ -41,7 +41,16 @@ BREVE = "\u0306"
 
 #: Blocks in which each character can be stripped of its accents on its own: no marks, nothing that joins a neighbour.
 _ALONE = ((0x00, 0x2FF), (0x370, 0x482), (0x48A, 0x52F), (0x1E00, 0x20CF), (0x2100, 0x2CEE), (0x2CF2, 0x2D7E), (0x2D80, 0x2DDF), (0x3000, 0x3029), (0x3030, 0x3098), (0x309B, 0x30FF), (0x4E00, 0x9FFF))
-_TOGETHER = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ALONE) + "]"
+
+
+def _ranges(*blocks: tuple[int, int]) -> str:
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in blocks)
+
+
+_TOGETHER = f"[^{_ranges(*_ALONE)}]"
+
+#: Latin and Cyrillic of these blocks: texts of nothing else are told by a pattern of few ranges.
+_USUAL = f"^[{_ranges((0x00, 0x2FF), (0x400, 0x482), (0x48A, 0x52F), (0x2010, 0x2027))}]*+$"
 
 
 def strip_accents(text: str) -> str:
@@ -77,8 +86,8 @@ _strip_accents = _accent_function()
 
 def remove_accents(text: Column) -> Column:
     """Letters without their accents; й, ў and ă keep the breve. A table lookup in the JVM where characters stand alone."""
-    together = text.rlike(_TOGETHER)
-    return F.when(together, _strip_accents(F.when(together, text))).otherwise(F.translate(text, _ACCENTED, _BARE))
+    alone = text.rlike(_USUAL) | ~text.rlike(_TOGETHER)
+    return F.when(alone, F.translate(text, _ACCENTED, _BARE)).otherwise(_strip_accents(F.when(~alone, text)))
 
 
 def replace_letters(text: Column) -> Column:

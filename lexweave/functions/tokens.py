@@ -1,19 +1,23 @@
 """Tokens, part-of-speech tags and lemmas as column functions over arrays.
 
-A document's tokens are one array, so tokenising, tagging and matching are narrow: no token crosses the network. Tables
-of tokens are an explode of these arrays.
+A document's tokens are one array of strings, so tokenising and matching are narrow: no token crosses the network. What
+costs more than a look at a token is done after an explode, in generated code.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.normalize import fold, fold_yo
 
+if TYPE_CHECKING:
+    from lexweave.operators.lexicon import Lexicon
+
 #: Hyphens and dashes (fixed values).
 HYPHENS = "-‑–—−"
 
@@ -89,32 +93,56 @@ def replaced(lemma: Column, replacements: dict[str, str]) -> Column:
 @dataclass(frozen=True)
 class Analyzer:
     """How tokens are tagged and reduced to lemmas. `tagger` maps a token to its tag; `lemmatizer` maps a token and its tag
-    to a raw lemma; the lemma is then lower-cased and replaced once."""
+    to a raw lemma; the lemma is then lower-cased and replaced once. A lexicon (see operators.lexicon) comes before both,
+    for the forms that it lists."""
 
     tagger: Callable[[Column], Column] = lexicon_tag
     lemmatizer: Callable[[Column, Column], Column] = identity_lemma
     replacements: dict[str, str] = field(default_factory=dict)
+    lexicon: Lexicon | None = None
 
     def is_word(self, token: Column, tag: Column) -> Column:
         return token.rlike(ALPHA) & ~tag.isin(*BANNED)
 
-    def lemma(self, token: Column, tag: Column) -> Column:
-        """Lemma of a word, null for other tokens."""
-        return F.when(self.is_word(token, tag), replaced(F.lower(self.lemmatizer(token, tag)), self.replacements))
+    def finished(self, token: Column, tag: Column, raw: Column) -> Column:
+        """Lemma of a word from its raw lemma, null for other tokens."""
+        return F.when(self.is_word(token, tag), replaced(F.lower(raw), self.replacements))
 
-    def analyzed(self, normalized: Column) -> Column:
-        """array<struct<text, pos, lemma, has_inner_hyphen>> of a normalised text; the index is the token's number."""
-        tagged = F.transform(tokens(normalized), lambda t: F.struct(t.alias("text"), self.tagger(t).alias("pos")))
-        return F.transform(
-            tagged,
-            lambda t: F.struct(t["text"].alias("text"), t["pos"].alias("pos"), self.lemma(t["text"], t["pos"]).alias("lemma"), has_inner_hyphen(t["text"]).alias("has_inner_hyphen")),
-        )
+    def lemma(self, token: Column, tag: Column) -> Column:
+        """Lemma of a word without a lexicon, null for other tokens."""
+        return self.finished(token, tag, self.lemmatizer(token, tag))
+
+    def with_lemmas(self, df: DataFrame, **tokens: str) -> DataFrame:
+        """df with a column for each name of tokens: a struct (pos, lemma) of the token in the column given for it."""
+        if self.lexicon is None:
+            return df.withColumns({name: F.struct(self.tagger(F.col(c)).alias("pos"), self.lemma(F.col(c), self.tagger(F.col(c))).alias("lemma")) for name, c in tokens.items()})
+        for name, c in tokens.items():
+            token = F.col(c)
+            df = self.lexicon.looked_up(df, token, "_found")
+            pos = F.coalesce("_found.pos", self.tagger(token))
+            raw = F.coalesce("_found.lemma", self.lemmatizer(token, pos))
+            df = df.withColumn(name, F.struct(pos.alias("pos"), self.finished(token, pos, raw).alias("lemma"))).drop("_found")
+        return df
+
+    def surfaces(self, lemmas: list[str], most: int) -> list[str] | None:
+        """The `key`s of all tokens whose lemma is among lemmas (and maybe others); None if they cannot be listed, or are
+        more than most."""
+        if self.lemmatizer is not identity_lemma:
+            return None
+        raw = {*lemmas, *(k for k, v in self.replacements.items() if v in lemmas)}
+        known = [] if self.lexicon is None else self.lexicon.forms_of(raw, most)
+        return None if known is None or len(raw) + len(known) > most else sorted({*raw, *known})
+
+    @staticmethod
+    def key(token: Column) -> Column:
+        """What the default lemmatizer makes of a token, and a lexicon is asked for."""
+        return F.lower(fold_yo(token))
 
 
 def has_inner_hyphen(token: Column) -> Column:
     return token.rlike(f"[{HYPHENS}]")
 
 
-def is_hyphen(token: Column, tag: Column) -> Column:
-    """A punctuation token that is exactly one hyphen."""
-    return (tag == "PUNCT") & token.isin(*HYPHENS)
+def is_hyphen(token: Column, tagger: Callable[[Column], Column] = lexicon_tag) -> Column:
+    """A punctuation token that is exactly one hyphen; only hyphens are tagged for this."""
+    return F.coalesce(token.isin(*HYPHENS) & (tagger(token) == "PUNCT"), F.lit(False))

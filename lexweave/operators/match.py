@@ -1,69 +1,138 @@
-"""Matching of word patterns: every k-gram of lemmas, overlapping ones too, against a dictionary of patterns."""
+"""Matching of word patterns: every k-gram of lemmas, overlapping ones too, against a dictionary of patterns.
+
+A text is looked through once for tokens that can begin a pattern; only these leave the row, each with the few tokens
+after it. Lemmas, patterns and the rest are made of these small rows, in generated code.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.operators.words import unnested
-
-#: Patterns that are broadcast (some 100 bytes each), and first words that are tested before k-grams are built.
-MAX_BROADCAST, MAX_FIRST_WORDS = 1_000_000, 5_000
-
-
-def _grams(k: int, allow_punct_between: bool, first_words: list[str] | None) -> Column:
-    """array<struct<k, pattern, first_tok, last_tok, hyphen>> of the k-grams of words whose words are adjacent."""
-    words, tokens = F.col("words"), F.col("tokens")
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-    if first_words is not None:
-        starts = F.filter(starts, lambda i: F.get(words, i)["lemma"].isin(first_words))
-
-    def adjacent(i: Column) -> Column:
-        first, last = F.get(words, i)["tok_idx"], F.get(words, i + k - 1)["tok_idx"]
-        if not allow_punct_between:
-            return last - first == k - 1
-        return F.size(F.filter(F.slice(tokens, first + 1, last - first + 1), lambda t: t["pos"] != "PUNCT")) == k
-
-    if k > 1:
-        starts = F.filter(starts, adjacent)
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            F.lit(k).alias("k"),
-            F.array_join(F.transform(F.slice(words, i + 1, k), lambda w: w["lemma"]), " ").alias("pattern"),
-            F.get(words, i)["tok_idx"].alias("first_tok"),
-            F.get(words, i + k - 1)["tok_idx"].alias("last_tok"),
-            (F.lit(k == 1) & (F.get(words, i)["hyph_left"] | F.get(words, i)["hyph_right"] | F.get(words, i)["inner_hyphen"])).alias("hyphen"),
-        ),
-    )
-
-
-def matches(words_of: DataFrame, patterns: DataFrame, *carry: str, allow_punct_between: bool = False, disallow_hyphen_adjacent_for_unigrams: bool = False, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """words_of: rows of words.analyzed. patterns: pattern, k. The hits: carry (doc_id and segment if none is named), k,
-    pattern, first_tok, last_tok.
-
-    One pass over the texts whatever the lengths of patterns. The dictionary is counted first: up to max_broadcast
-    patterns are broadcast, more are joined by shuffle.
+from lexweave.functions.tokens import Analyzer, has_inner_hyphen, is_hyphen
+from lexweave.operators.words import indices, piece_start
+
+#: Patterns that are broadcast (some 100 bytes each), and forms of first words that are sought in texts; with more, every
+#: token is tried.
+MAX_BROADCAST, MAX_FIRST_FORMS = 1_000_000, 20_000
+
+#: The pattern of rows that count the words of a text: no dictionary has it.
+TOTAL = ""
+
+
+def _starts(analyzer: Analyzer, longest: int, forms: list[str] | None, soft: bool, around: int, spans: bool) -> Column:
+    """array<struct<at, low, win, start, ends>> of the tokens that can begin a pattern: the indices of the tokens of the
+    longest gram from there, the tokens from low on that surround them, and code points, if spans are asked for."""
+    tokens, n = F.col("tokens"), F.size("tokens")
+    first = (lambda i: F.get("open", i)) if soft else (lambda i: i)
+    begin = indices(F.size("open") if soft else n)
+    if forms is not None:
+        begin = F.filter(begin, lambda i: analyzer.key(F.get(tokens, first(i))).isin(forms))
+
+    def one(i: Column) -> Column:
+        at = F.slice("open", i + 1, F.lit(longest)) if soft else F.sequence(i, F.least(i + longest - 1, n - 1))
+        low = F.greatest(first(i) - around, F.lit(0))
+        win = F.slice(tokens, low + 1, F.element_at(at, -1) + around - low + 1)
+        where = [F.lit(None).cast("int"), F.lit(None).cast("array<int>")]
+        if spans:
+            where = [piece_start(F.get("at", first(i))), F.transform(at, lambda q: piece_start(F.get("at", q)) + F.char_length(F.get(tokens, q)))]
+        return F.struct(at.alias("at"), low.alias("low"), win.alias("win"), where[0].alias("start"), where[1].alias("ends"))
+
+    return F.transform(begin, one)
+
+
+def _open(analyzer: Analyzer) -> Column:
+    """Indices of the tokens that are no punctuation."""
+    return F.filter(indices(F.size("tokens")), lambda i: analyzer.tagger(F.get("tokens", i)) != "PUNCT")
+
+
+def _words(analyzer: Analyzer) -> Column:
+    """The number of words of a text, if tokens are tagged without a lexicon."""
+    return F.size(F.filter("tokens", lambda t: analyzer.is_word(t, analyzer.tagger(t))))
+
+
+def matches(
+    texts: DataFrame,
+    patterns: DataFrame,
+    analyzer: Analyzer,
+    *carry: str,
+    allow_punct_between: bool = False,
+    disallow_hyphen_adjacent_for_unigrams: bool = False,
+    max_broadcast: int = MAX_BROADCAST,
+    around: int = 0,
+    spans: bool = False,
+    totals: bool = False,
+) -> DataFrame:
+    """texts: tokenized (with offsets, if spans are asked for). patterns: pattern, k. The hits: carry (doc_id and segment if
+    none is named), k, pattern, first_tok, last_tok, low and win (the tokens from low on, with `around` more on both
+    sides), start and end (code points, if spans are asked for), weight (1).
+
+    With totals (not with a lexicon) there is a row of pattern TOTAL and k 0 for each text, of its number of words as
+    weight, so that one pass gives hits and totals. The dictionary is counted first: up to max_broadcast patterns are
+    broadcast, more are joined by shuffle.
     """
     carry = carry or ("doc_id", "segment")
-    distinct = patterns.where("pattern <> ''").select("pattern", "k").distinct()
-    lengths = distinct.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length of phrase
-    size = sum(r["n"] for r in lengths)
-    if not size:
-        return words_of.where("false").select(*carry, F.lit(0).alias("k"), F.lit("").alias("pattern"), F.lit(0).alias("first_tok"), F.lit(0).alias("last_tok"))
-    first_words = None
-    if size <= MAX_FIRST_WORDS:
-        first_words = sorted({r[0] for r in distinct.select(F.split("pattern", " ")[0]).collect()})
-        if any(" " in w or not w for w in first_words):
-            first_words = None
-    grams = F.concat(*(_grams(r["k"], allow_punct_between, first_words) for r in sorted(lengths, key=lambda r: r["k"])))
-    found = unnested(words_of, grams, "g", *carry).select(*carry, "g.*")
-    if disallow_hyphen_adjacent_for_unigrams:
-        found = found.where(~F.col("hyphen"))
+    distinct = patterns.where(F.col("pattern") != TOTAL).select("pattern", F.col("k").cast("int").alias("k")).distinct()
+    lengths = [tuple(r) for r in distinct.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row for each length
+    size, longest = sum(n for _, n in lengths), max((k for k, _ in lengths), default=1)
+    forms: list[str] | None = [] if not size else None
+    if 0 < size <= MAX_FIRST_FORMS:
+        first = {r[0] for r in distinct.select(F.split("pattern", " ")[0]).collect()}
+        if not any(" " in v for v in analyzer.replacements.values()) and all(first):
+            forms = analyzer.surfaces(sorted(first), MAX_FIRST_FORMS)
+    reach = max(1, around)
+    opened = texts.withColumn("open", _open(analyzer)) if allow_punct_between else texts
+    begin = _starts(analyzer, longest, forms, allow_punct_between, reach, spans)
+    counted = _words(analyzer) if totals else F.lit(0)
+    # made before the explode, which would else copy the whole text to each of its rows
+    made = opened.select(*carry, counted.cast("bigint").alias("n_words"), begin.alias("starts"))
+    rows = made.select(*carry, "n_words", F.posexplode_outer("starts").alias("nr", "s"))
+    rows = rows.select(*carry, F.when(F.coalesce("nr", F.lit(0)) == 0, F.col("n_words")).alias("n_words"), "s.*")
+    if not totals:
+        rows = rows.where("at is not null")
+    token = lambda j: F.get("win", F.get("at", F.lit(j)) - F.col("low"))
+    named = rows.withColumns({f"_t{j}": token(j) for j in range(longest)})
+    known = analyzer.with_lemmas(named, **{f"_w{j}": f"_t{j}" for j in range(longest)})
+    lemma = lambda j: F.col(f"_w{j}.lemma")
+    here = F.get("at", F.lit(0)) - F.col("low")
+    hyphen = is_hyphen(F.get("win", here - 1), analyzer.tagger) | is_hyphen(F.get("win", here + 1), analyzer.tagger) | has_inner_hyphen(F.col("_t0"))
+
+    def gram(k: int) -> Column:
+        whole = lemma(0).isNotNull()
+        for j in range(1, k):
+            whole = whole & lemma(j).isNotNull()
+        if k == 1 and disallow_hyphen_adjacent_for_unigrams:
+            whole = whole & ~hyphen
+        pattern = F.concat_ws(" ", *(lemma(j) for j in range(k)))
+        return F.when(whole, F.struct(F.lit(k).alias("k"), pattern.alias("pattern"), F.get("at", F.lit(k - 1)).alias("last_tok"), F.get("ends", F.lit(k - 1)).alias("end"), F.lit(1).cast("bigint").alias("weight")))
+
+    grams = [gram(k) for k in sorted(k for k, _ in lengths)]
+    if totals:
+        none = F.lit(None).cast("int")
+        grams.append(F.when(F.col("n_words").isNotNull(), F.struct(F.lit(0).alias("k"), F.lit(TOTAL).alias("pattern"), none.alias("last_tok"), none.alias("end"), F.col("n_words").alias("weight"))))
+        distinct = distinct.unionByName(texts.sparkSession.createDataFrame([(TOTAL, 0)], "pattern string, k int"))
+    if not grams:
+        return rows.where("false").select(*carry, F.lit(0).alias("k"), F.lit("").alias("pattern"), F.lit(0).alias("first_tok"), F.lit(0).alias("last_tok"), "low", "win", "start", F.lit(0).alias("end"), F.lit(1).cast("bigint").alias("weight"))
+    found = known.select(*carry, F.get("at", F.lit(0)).alias("first_tok"), "low", "win", "start", F.explode_outer(F.array(*grams)).alias("g")).where("g is not null")
     side = F.broadcast(distinct) if size <= max_broadcast else distinct
-    return found.drop("hyphen").join(side, ["k", "pattern"], "left_semi").select(*carry, "k", "pattern", "first_tok", "last_tok")
+    hits = found.select(*carry, F.col("g.k").alias("k"), F.col("g.pattern").alias("pattern"), "first_tok", F.col("g.last_tok").alias("last_tok"), "low", "win", "start", F.col("g.end").alias("end"), F.col("g.weight").alias("weight"))
+    return hits.join(side, ["k", "pattern"], "left_semi").select(*carry, "k", "pattern", "first_tok", "last_tok", "low", "win", "start", "end", "weight")
 
 
 def count_hits(hits: DataFrame, *by: str) -> DataFrame:
     """by, pattern and cnt."""
     return hits.groupBy(*by, "pattern").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def counts_and_totals(texts: DataFrame, patterns: DataFrame, analyzer: Analyzer, **options) -> tuple[DataFrame, DataFrame]:
+    """texts: tokenized, with segment. (segment, pattern, cnt) of all hits, and (segment, total) of all words, from one pass
+    over the texts and one shuffle of sums; with a lexicon, totals need a pass of their own."""
+    from lexweave.operators.words import word_totals
+
+    if analyzer.lexicon is not None:
+        return count_hits(matches(texts, patterns, analyzer, "segment", **options), "segment"), word_totals(texts, analyzer)
+    rows = matches(texts, patterns, analyzer, "segment", totals=True, **options)
+    # what tells totals from hits is an aggregate too: a filter on it stays above the shuffle that both share
+    summed = rows.groupBy("segment", F.coalesce("pattern", F.lit(TOTAL)).alias("pattern")).agg(F.sum("weight").alias("cnt"), F.max("k").alias("k"))
+    totals = summed.where("k = 0").select("segment", F.greatest(F.lit(1), F.col("cnt")).cast("bigint").alias("total"))
+    return summed.where("k > 0").select("segment", "pattern", "cnt"), totals

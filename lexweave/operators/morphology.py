@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexweave.functions.normalize import fold_yo
-from lexweave.functions.tokens import BANNED
+from lexweave.functions.tokens import BANNED, replaced
 
 PARSE = "struct<word:string,normal_form:string,tags:array<string>,score:double>"
 
@@ -64,9 +64,10 @@ def is_proper(parses: Column) -> Column:
 
 
 def dropped(parses: Column, pos: Column) -> Column:
-    """Tokens that `lemmatize` leaves out: without a parse, with a score of 0 or less, or of a closed class."""
+    """Tokens that `lemmatize` leaves out: those whose corrected lemma has no parse, or one with a score of 0 or less, and
+    those of a closed class."""
     best = F.get(parses, F.lit(0))
-    return (F.size(parses) == 0) | F.coalesce(best["score"] <= 0, F.lit(True)) | pos.isin(*BANNED)
+    return best.isNull() | F.coalesce(best["score"] <= 0, F.lit(True)) | F.coalesce(pos.isin(*BANNED), F.lit(False))
 
 
 def title_case(text: Column) -> Column:
@@ -75,14 +76,15 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(cut, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))), "")
 
 
-def lemmatize_standard(token: Column, lemma: Column, pos: Column, token_parses: Column, lemma_parses: Column, *, skip_proper_nouns: bool = True) -> Column:
-    """Lemma of a token, or null if it is left out: proper nouns go, or are kept in title case."""
-    corrected = correct_lemma(token, lemma, token_parses, lemma_parses)
-    proper = is_proper(token_parses)
-    cased = F.when(proper, F.lit(None).cast("string") if skip_proper_nouns else title_case(corrected)).otherwise(F.lower(corrected))
-    return F.when(~dropped(token_parses, pos), fold_yo(cased))
+def lemmatize_standard(lemma: Column, pos: Column, lemma_parses: Column, replacements: dict[str, str], *, skip_proper_nouns: bool = True) -> Column:
+    """What stands for a token, or null if it is left out. lemma is the corrected lemma, lemma_parses are its parses. Proper
+    nouns go, or are kept in title case; what is left is replaced once."""
+    proper = is_proper(lemma_parses)
+    cased = F.when(proper, title_case(lemma)).otherwise(F.lower(lemma))
+    out = dropped(lemma_parses, pos) | (proper if skip_proper_nouns else F.lit(False))
+    return F.when(~out, replaced(fold_yo(cased), replacements))
 
 
-def lemmatize_without_proper(token: Column, lemma: Column, pos: Column, token_parses: Column, lemma_parses: Column) -> Column:
-    """As the standard one; proper nouns always go."""
-    return lemmatize_standard(token, lemma, pos, token_parses, lemma_parses, skip_proper_nouns=True)
+def lemmatize_without_proper(lemma: Column, pos: Column, lemma_parses: Column, replacements: dict[str, str]) -> Column:
+    """What stands for a token in lower case, or null: proper nouns always go."""
+    return F.when(~(dropped(lemma_parses, pos) | is_proper(lemma_parses)), replaced(fold_yo(F.lower(lemma)), replacements))

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def span_start(pieces: Column, tokens: Column, tok: Column) -> Column:
-    """First code point of a token in the normalised text."""
-    return F.char_length(F.array_join(F.slice(pieces, 1, F.get(tokens, tok)["at"]), ""))
-
-
 def hit_spans(hits: DataFrame, *keys: str) -> DataFrame:
-    """hits: keys, first_tok, last_tok and the text's pieces and tokens. keys, start, end: from the first code point of the
-    first token to behind the last token."""
-    at = span_start(F.col("pieces"), F.col("tokens"), F.col("first_tok"))
-    first, last = F.get("tokens", F.col("first_tok"))["at"], F.get("tokens", F.col("last_tok"))["at"]
-    length = F.char_length(F.array_join(F.slice("pieces", first + 1, last - first + 1), ""))
-    return hits.select(*keys, at.alias("start"), (at + length).alias("end"))
+    """hits: matches with spans. keys, start, end: from the first code point of the first token to behind the last token."""
+    return hits.select(*keys, "start", "end")
 
 
 def merge_spans(spans: DataFrame, *keys: str) -> DataFrame:

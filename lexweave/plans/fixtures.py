@@ -15,6 +15,9 @@ REPLACEMENTS = {"thing": "the", "des": "der", "una": "un"}
 
 STOPWORDS = ("the", "der", "die", "und", "and")
 
+#: Stop words in normalised letters.
+PREPROCESS_STOPWORDS = ("orre",)
+
 #: Lines of a replacement file: the first colon divides, the last of equal keys counts.
 REPLACEMENT_LINES = ("a: b", " c :d: e ", "no colon", "a: z", ": empty key", "")
 
@@ -34,5 +37,27 @@ PARSES = (
     ("клетки", "клетка", (("клетки", "клетка", "NOUN", 0.6),), (("клетка", "клетка", "NOUN", 0.6),)),
 )
 
+#: A small lexicon over the tables' words: (form, tag or None, lemma of a tagger or None, parses).
+LEXICON = (
+    ("asga", None, None, (("asga", "asga", "NOUN", 0.9),)),
+    ("asgado", None, "asga", (("asgado", "asga", "NOUN", 0.8),)),
+    ("asgaes", None, "asga", (("asgaes", "asga", "NOUN", 0.8),)),
+    ("asgaos", None, "asgaos", (("asgaos", "asga", "NOUN", 0.7),)),
+    ("orre", None, None, (("orre", "orre", "NOUN", 0.9),)),
+    ("orrest", "VERB", "orrest", (("orrest", "orreth", "VERB perf", 0.5), ("orrest", "orre", "VERB impf", 0.4))),
+    ("orreti", None, "orrehe", (("orreti", "orreti", "ADJS", 0.6),)),
+    ("orrehe", None, "orrehe", (("orrehe", "orrehe", "ADJS", 0.5), ("orrehe", "orre", "ADJF", 0.4))),
+    ("der", "DET", "der", (("der", "der", "ADJF", 0.7),)),
+    ("die", "DET", "der", (("die", "der", "ADJF", 0.7),)),
+    ("des", "DET", "der", ()),
+    ("hehely", "PROPN", "hehely", (("hehely", "hehely", "NOUN Name", 0.9),)),
+    ("ti", None, "ti", (("ti", "ti", "NOUN", 0.0),)),
+    ("thati", "ADP", "thati", (("thati", "thati", "NOUN", 0.9),)),
+    ("et", "CCONJ", "et", (("et", "et", "CONJ", 0.9),)),
+)
+
+#: (term_id, term): inflected forms and phrases of them.
+LEMMA_TERMS = ((0, "asgaes"), (1, "orrest"), (2, "die"), (3, "hehely"), (4, "orreti asgado"), (5, "et"), (6, "des der"), (7, "las der"))
+
 #: (path, fallback, counted words) of a segment's size.
 TOTALS = (("Biology_5_35834.docx", None, 10), ("x_7", 99, 10), ("x_0.docx", 99, 10), ("x_12.tar.gz", 55, 10), ("/a_9/b.docx", 0, 0), ("plain.docx", None, 42))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +12,11 @@ from lexweave.functions.tokens import Analyzer, is_hyphen
 from lexweave.operators import contexts as K
 from lexweave.operators import match as M
 from lexweave.operators import morphology as R
+from lexweave.operators import preprocess as P
 from lexweave.operators import spans as S
 from lexweave.operators import stats as A
 from lexweave.operators import words as W
+from lexweave.operators.lexicon import Lexicon, compiled
 from lexweave.operators.relational import merge_dataframes
 from lexweave.plans import fixtures
 from lexweave.sources.lists import parse_replacements, parse_stopwords, parse_terms
@@ -24,6 +26,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 ANALYZER = Analyzer(replacements={N.fold(k): N.fold(v) for k, v in fixtures.REPLACEMENTS.items()})
 CAP, WINDOW = 5, 6
 
+#: Terms whose contexts are asked for alone; the second one is not in the dictionary, so nothing is found for it.
+CHOSEN = ("and the", "house", "El")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,12 +47,16 @@ def patterns(spark: SparkSession) -> DataFrame:
     return W.term_patterns(terms(spark), ANALYZER)
 
 
-def words_of(spark: SparkSession, sf_dir: str, segment: str = "lang") -> DataFrame:
-    return W.analyzed(documents(spark, sf_dir, segment), ANALYZER, offsets=False)
+def texts_of(spark: SparkSession, sf_dir: str, segment: str = "lang") -> DataFrame:
+    return W.tokenized(documents(spark, sf_dir, segment))
+
+
+def tokens_of(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return W.token_rows(texts_of(spark, sf_dir), ANALYZER, *keys)
 
 
 def _normalized(function: Callable[[Column], Column]) -> Query:
-    return lambda spark, sf_dir: _table(spark, sf_dir, "documents").select("doc_id", function(F.col("text")).alias("text"))
+    return lambda spark, sf_dir: W.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", function(F.col("text")).alias("text"))
 
 
 def filter_latin_months_short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,24 +81,24 @@ def tokens_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = W.unnested(words_of(spark, sf_dir), "tokens", "t", "segment")
-    inner = F.col("t.text").rlike("[-‑–—−]")
-    return tokens.groupBy("segment", F.col("t.pos").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.count("t.lemma").alias("n_words"), F.count_if(inner).alias("n_inner_hyphen"))
+    tokens = tokens_of(spark, sf_dir, "segment")
+    return tokens.groupBy("segment", "pos").agg(F.count(F.lit(1)).alias("n"), F.count("lemma").alias("n_words"), F.count_if("inner_hyphen").alias("n_inner_hyphen"))
 
 
 def pos_filter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words_of(spark, sf_dir).select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.array_join(F.transform("words", lambda w: w["lemma"]), " ").alias("lemmas"))
+    lemmas = F.filter(F.transform("tokens", lambda t: ANALYZER.lemma(t, ANALYZER.tagger(t))), lambda w: w.isNotNull())
+    return texts_of(spark, sf_dir).select("doc_id", lemmas.alias("lemmas")).select("doc_id", F.size("lemmas").cast("bigint").alias("n_words"), F.array_join("lemmas", " ").alias("lemmas"))
 
 
 def hyphen_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = W.unnested(words_of(spark, sf_dir), "words", "w", "doc_id").select("doc_id", "w.*")
-    return words.where("hyph_left or hyph_right or inner_hyphen").select("doc_id", F.col("tok_idx").cast("int").alias("tok_idx"), "lemma", "hyph_left", "hyph_right", "inner_hyphen")
+    words = tokens_of(spark, sf_dir, "doc_id").where("lemma is not null and (hyph_left or hyph_right or inner_hyphen)")
+    return words.select("doc_id", "tok_idx", "lemma", "hyph_left", "hyph_right", "inner_hyphen")
 
 
 def lemma_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = W.unnested(words_of(spark, sf_dir), "tokens", "t", "segment")
-    raw = N.fold_yo(F.lower("t.text"))
-    return tokens.where(raw.isin(*ANALYZER.replacements) & F.col("t.lemma").isNotNull()).groupBy("segment", raw.alias("raw"), F.col("t.lemma").alias("lemma")).agg(F.count(F.lit(1)).alias("n"))
+    tokens = tokens_of(spark, sf_dir, "segment")
+    raw = ANALYZER.key(F.col("text"))
+    return tokens.where(raw.isin(*ANALYZER.replacements) & F.col("lemma").isNotNull()).groupBy("segment", raw.alias("raw"), "lemma").agg(F.count(F.lit(1)).alias("n"))
 
 
 def replacement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +141,7 @@ def read_terms_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _unigrams(**options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return M.count_hits(M.matches(words_of(spark, sf_dir), patterns(spark).where("k = 1"), **options), "segment")
+        return M.count_hits(M.matches(texts_of(spark, sf_dir), patterns(spark).where("k = 1"), ANALYZER, "segment", **options), "segment")
 
     return query
 
@@ -140,8 +149,8 @@ def _unigrams(**options) -> Query:
 def _kgrams(scope: str = "document", **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         texts = documents(spark, sf_dir)
-        done = W.analyzed(W.blocks(texts), ANALYZER, "doc_id", "segment", "block_id") if scope == "block" else W.analyzed(texts, ANALYZER, offsets=False)
-        return M.count_hits(M.matches(done, patterns(spark).where("k > 1"), **options), "segment")
+        done = W.tokenized(W.blocks(texts), "segment") if scope == "block" else W.tokenized(texts)
+        return M.count_hits(M.matches(done, patterns(spark).where("k > 1"), ANALYZER, "segment", **options), "segment")
 
     return query
 
@@ -151,7 +160,7 @@ def distinct_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.word_totals(words_of(spark, sf_dir), "segment")
+    return W.word_totals(texts_of(spark, sf_dir), ANALYZER)
 
 
 def total_words_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,12 +169,11 @@ def total_words_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", total.alias("total"), F.greatest(F.lit(1), total).cast("bigint").alias("denom"))
 
 
-def frequencies(spark: SparkSession, sf_dir: str, segment: str = "lang", segments: tuple = fixtures.SEGMENTS) -> DataFrame:
+def frequencies(spark: SparkSession, sf_dir: str, segment: str = "lang", segments: Sequence[str] = fixtures.SEGMENTS) -> DataFrame:
     """Every term and segment with cnt and ipm."""
-    done = words_of(spark, sf_dir, segment)
     known = patterns(spark)
-    counted = A.term_counts(known, M.count_hits(M.matches(done, known), "segment"), segments)
-    return A.per_million(counted, W.word_totals(done, "segment"))
+    counts, totals = M.counts_and_totals(texts_of(spark, sf_dir, segment), known, ANALYZER)
+    return A.per_million(A.term_counts(known, counts, segments), totals)
 
 
 def term_ipm_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,15 +184,59 @@ def term_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.dynamics(frequencies(spark, sf_dir), fixtures.SEGMENTS)
 
 
-SOURCES = ("src0", "src1", "src8")
+def term_dynamics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long form, a row for each term and each source that the table has."""
+    sources = [r[0] for r in _table(spark, sf_dir, "documents").where("source is not null").select("source").distinct().orderBy("source").collect()]  # columns of a report
+    return frequencies(spark, sf_dir, "source", sources).select("term_id", "term", "segment", "cnt", "ipm")
 
 
-def term_dynamics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.dynamics(frequencies(spark, sf_dir, "source", SOURCES), SOURCES)
+def lexicon(spark: SparkSession) -> DataFrame:
+    """The inline lexicon: form, pos, raw, parses."""
+    rows = [(form, pos, raw, [(p[0], p[1], p[2].split(), p[3]) for p in own]) for form, pos, raw, own in fixtures.LEXICON]
+    return compiled(spark.createDataFrame(rows, f"form string, pos string, raw string, parses array<{R.PARSE}>"))
+
+
+def lemma_analyzer(spark: SparkSession) -> Analyzer:
+    return Analyzer(replacements=ANALYZER.replacements, lexicon=Lexicon(lexicon(spark).select("form", "pos", "lemma")))
+
+
+def lemma_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrected lemma of every form of the lexicon."""
+    return lexicon(spark).select("form", "pos", "lemma", F.size("lemma_parses").alias("n_parses"))
+
+
+def lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies of terms whose inflected forms have one lemma."""
+    analyzer = lemma_analyzer(spark)
+    known = W.term_patterns(spark.createDataFrame([*fixtures.LEMMA_TERMS], "term_id bigint, term string"), analyzer)
+    counts, totals = M.counts_and_totals(texts_of(spark, sf_dir), known, analyzer)
+    return A.per_million(A.term_counts(known, counts, fixtures.SEGMENTS), totals).select("term_id", "term", "pattern", "segment", "cnt", "ipm")
+
+
+def lemmatize_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lemmas of each text under the three rules for proper nouns."""
+    pos, lemma, own = F.col("pos"), F.col("lemma"), F.col("lemma_parses")
+    rules = {
+        "standard": R.lemmatize_standard(lemma, pos, own, ANALYZER.replacements),
+        "titled": R.lemmatize_standard(lemma, pos, own, ANALYZER.replacements, skip_proper_nouns=False),
+        "without_proper": R.lemmatize_without_proper(lemma, pos, own, ANALYZER.replacements),
+    }
+    lists = P.lemma_lists(documents(spark, sf_dir), lexicon(spark), ANALYZER, "doc_id", **rules)
+    return lists.select("doc_id", *(F.array_join(name, " ").alias(name) for name in rules))
+
+
+def _preprocessed(**options) -> Query:
+    return lambda spark, sf_dir: P.preprocess(documents(spark, sf_dir), lexicon(spark), ANALYZER, **options).select("doc_id", F.array_join("words", " ").alias("words"))
+
+
+def numeric_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers out of strings, 0 for what is none: the digits at the end of a page's address, and the address itself."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "([0-9]*)$", 1).alias("tail"), "url")
+    return A.numeric_or_zero(pages, "tail", "url")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.matches(words_of(spark, sf_dir), patterns(spark), "doc_id", "segment", "tokens")
+    return M.matches(texts_of(spark, sf_dir), patterns(spark), ANALYZER, around=WINDOW)
 
 
 def kwic_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,12 +251,23 @@ def kwic_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.context_log(K.contexts(hits(spark, sf_dir), window=WINDOW, cap=CAP), W.terms_by_pattern(patterns(spark)))
 
 
+def kwic_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the log: where each of its rows stands."""
+    return K.with_place(kwic_log(spark, sf_dir)).select("segment", "pattern", "match_no", "place")
+
+
+def kwic_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of chosen terms only."""
+    chosen = W.term_patterns(spark.createDataFrame([*enumerate(CHOSEN)], "term_id bigint, term string"), ANALYZER)
+    return K.contexts(K.of_terms(hits(spark, sf_dir), chosen), window=WINDOW, cap=CAP).select("segment", "pattern", "match_no", "surface", "context")
+
+
 def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.analyzed(W.blocks(documents(spark, sf_dir)), ANALYZER, "doc_id", "block_id")
+    return W.tokenized(W.blocks(documents(spark, sf_dir)), "doc_id", "block_id", offsets=True)
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.matches(blocks_of(spark, sf_dir), patterns(spark), "doc_id", "block_id", "pieces", "tokens")
+    found = M.matches(blocks_of(spark, sf_dir), patterns(spark), ANALYZER, "doc_id", "block_id", spans=True)
     return S.hit_spans(found, "doc_id", "block_id")
 
 
@@ -235,13 +298,13 @@ DEBUG_TERM = "orre orre"
 def debug_term_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.operators.debug import term_tokens
 
-    return term_tokens(words_of(spark, sf_dir), DEBUG_TERM, ANALYZER, window=WINDOW).select("doc_id", "tok_idx", "text", "lemma", "pos", "context")
+    return term_tokens(texts_of(spark, sf_dir), DEBUG_TERM, ANALYZER, window=WINDOW).select("doc_id", "tok_idx", "text", "lemma", "pos", "context")
 
 
 def debug_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexweave.operators.debug import term_hits
 
-    return term_hits(words_of(spark, sf_dir), DEBUG_TERM, ANALYZER).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cnt"))
+    return term_hits(texts_of(spark, sf_dir), DEBUG_TERM, ANALYZER).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def left_merge_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,8 +319,8 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hyphen_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lone hyphens, by document: what makes a neighbour of a word a hyphen."""
-    tokens = W.unnested(words_of(spark, sf_dir), "tokens", "t", "doc_id")
-    return tokens.where(is_hyphen(F.col("t.text"), F.col("t.pos"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    tokens = W.unnested(texts_of(spark, sf_dir), "tokens", "t", "doc_id")
+    return tokens.where(is_hyphen(F.col("t"), ANALYZER.tagger)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES: dict[str, Query] = {
@@ -299,6 +362,14 @@ QUERIES: dict[str, Query] = {
     "kwic_topn": kwic_topn,
     "kwic_window": kwic_window,
     "kwic_log": kwic_log,
+    "kwic_places": kwic_places,
+    "kwic_chosen": kwic_chosen,
+    "lemma_table": lemma_table,
+    "lemma_counts": lemma_counts,
+    "lemmatize_lists": lemmatize_lists,
+    "preprocess_standard": _preprocessed(stopwords=[N.fold(w) for w in fixtures.PREPROCESS_STOPWORDS]),
+    "preprocess_minimal": _preprocessed(standard=False),
+    "numeric_or_zero": numeric_or_zero,
     "highlight_spans": highlight_spans,
     "merged_spans": merged_spans,
     "highlight_runs": highlight_runs,

@@ -77,7 +77,7 @@ def docx_text(content: bytes) -> str:
     for table in body.findall(f"{W}tbl"):
         for cells in _rows(table):
             texts = ["\n".join(paragraph_text(p) for p in cell.findall(f"{W}p")) for cell in cells]
-            if shown := [t.strip() for t in texts if t.strip()]:
+            if shown := [t for t in texts if t.strip()]:
                 lines.append(" ".join(shown))
     return "\n".join(lines)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from itertools import groupby
 from pathlib import Path
 
 import pandas as pd
@@ -17,7 +18,7 @@ from lexweave.functions.tokens import Analyzer
 from lexweave.operators.contexts import in_log_order
 from lexweave.operators.match import matches
 from lexweave.operators.spans import hit_spans, merge_spans
-from lexweave.operators.words import analyzed
+from lexweave.operators.words import tokenized
 from lexweave.sources.ooxml import _blocks, binaries, highlighted_docx, make_xlsx
 
 # Column names of the result table and of the log, and the names of files.
@@ -42,27 +43,25 @@ def write_xlsx(table: DataFrame, path: str, segments: Sequence) -> None:
 
 
 def log_table(log: DataFrame) -> DataFrame:
-    """The context log under its published column names, in the order of the log."""
+    """The context log under its published column names, in the order of the log; a document that is a path has its last
+    part as its name."""
     columns = ("segment", "doc_id", "term", "pattern", "match_no", "surface", "context", "start_tok_idx", "end_tok_idx")
-    return in_log_order(log).select(*(F.col(c).alias(name) for c, name in zip(columns, LOG_COLUMNS)))
+    named = in_log_order(log).withColumn("doc_id", F.regexp_extract(F.col("doc_id").cast("string"), r"([^/\\]*)[/\\]*$", 1))
+    return named.select(*(F.col(c).alias(name) for c, name in zip(columns, LOG_COLUMNS)))
 
 
 def write_context_logs(log: DataFrame, folder: str, segments: Sequence) -> list[str]:
-    """A UTF-8 file with byte order mark for each segment that has rows; rows are streamed, never held."""
+    """A UTF-8 file with byte order mark for each of the segments that has rows. The log is made and sorted once; rows are
+    streamed, never held."""
     written = []
-    table = log_table(log)
-    for segment in segments:
-        rows = table.where(F.col(LOG_COLUMNS[0]) == F.lit(segment)).toLocalIterator()
-        first = next(rows, None)
-        if first is None:
-            continue
+    rows = log_table(log.where(F.col("segment").isin(*segments))).toLocalIterator()
+    for segment, own in groupby(rows, key=lambda row: row[0]):
         path = Path(folder) / LOG_NAME.format(segment)
         path.parent.mkdir(parents=True, exist_ok=True)
         with path.open("w", encoding="utf-8-sig", newline="") as file:
             out = csv.writer(file)
             out.writerow(LOG_COLUMNS)
-            out.writerow(first)
-            out.writerows(rows)
+            out.writerows(own)
         written.append(str(path))
     return written
 
@@ -83,9 +82,9 @@ def annotated_docx(spark: SparkSession, patterns: DataFrame, analyzer: Analyzer,
     those of the normalised paragraph. A document is a row throughout; only its spans are grouped."""
     files = binaries(spark, *paths)
     blocks = files.select("path", F.explode(_blocks("content")).alias("b")).select("path", "b.block_id", "b.text").where(~blank(F.col("text")))
-    done = analyzed(blocks, analyzer, "path", "block_id")
+    texts = tokenized(blocks, "path", "block_id", offsets=True)
     options = {"allow_punct_between": allow_punct_between, "disallow_hyphen_adjacent_for_unigrams": disallow_hyphen_adjacent_for_unigrams}
-    hits = matches(done, patterns, "path", "block_id", "pieces", "tokens", **options)
+    hits = matches(texts, patterns, analyzer, "path", "block_id", spans=True, **options)
     spans = merge_spans(hit_spans(hits, "path", "block_id"), "path", "block_id")
     each = spans.groupBy("path").agg(F.collect_list(F.struct("block_id", "start", "end")).alias("spans"))
     return files.join(each, "path", "left").select("path", _highlighted("content", "spans").alias("content"))

@@ -24,7 +24,7 @@ def corpus(spark, *texts):
 
 def count(spark, text, pattern, **options):
     patterns = spark.createDataFrame([(pattern, len(pattern.split()))], "pattern string, k int")
-    return M.matches(W.analyzed(corpus(spark, text), ANALYZER), patterns, **options).count()
+    return M.matches(W.tokenized(corpus(spark, text)), patterns, ANALYZER, **options).count()
 
 
 @pytest.mark.parametrize(
@@ -52,11 +52,11 @@ def test_replacement_is_one_step_and_keeps_case(spark):
 def test_matches_against_naive(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["ядро", "клетка", "лист", ",", "-", "в", "и"]) for _ in range(rng.randint(0, 40))) for _ in range(30)]
-    done = W.analyzed(corpus(spark, *texts), ANALYZER)
+    done = W.tokenized(corpus(spark, *texts))
     pats = [("ядро", 1), ("ядро клетка", 2), ("лист ядро клетка", 3), ("лист лист", 2)]
     patterns = spark.createDataFrame(pats, "pattern string, k int")
     for soft in (False, True):
-        got = sorted((r["doc_id"], r["pattern"], r["first_tok"], r["last_tok"]) for r in M.matches(done, patterns, allow_punct_between=soft).collect())
+        got = sorted((r["doc_id"], r["pattern"], r["first_tok"], r["last_tok"]) for r in M.matches(done, patterns, ANALYZER, allow_punct_between=soft).collect())
         want = []
         for d, text in enumerate(texts):
             toks = text.split()
@@ -96,8 +96,8 @@ def test_runs_and_markup(spark):
 
 
 def test_context_cap_and_clipping(spark):
-    done = W.analyzed(corpus(spark, " ".join(["ядро"] * 25)), ANALYZER)
-    hits = M.matches(done, spark.createDataFrame([("ядро", 1)], "pattern string, k int"), "doc_id", "segment", "tokens")
+    done = W.tokenized(corpus(spark, " ".join(["ядро"] * 25)))
+    hits = M.matches(done, spark.createDataFrame([("ядро", 1)], "pattern string, k int"), ANALYZER, around=2)
     rows = K.contexts(hits, window=2, cap=20).orderBy("match_no").collect()
     assert hits.count() == 25 and len(rows) == 20
     assert rows[0]["context"] == "ядро ядро ядро" and rows[5]["context"] == " ".join(["ядро"] * 5)
@@ -106,8 +106,8 @@ def test_context_cap_and_clipping(spark):
 def test_scope(spark):
     docs = corpus(spark, "лист\nядро")
     patterns = spark.createDataFrame([("лист ядро", 2)], "pattern string, k int")
-    assert M.matches(W.analyzed(docs, ANALYZER), patterns).count() == 1
-    assert M.matches(W.analyzed(W.blocks(docs), ANALYZER, "doc_id", "block_id"), patterns, "doc_id", "block_id").count() == 0
+    assert M.matches(W.tokenized(docs), patterns, ANALYZER).count() == 1
+    assert M.matches(W.tokenized(W.blocks(docs), "doc_id", "block_id"), patterns, ANALYZER, "doc_id", "block_id").count() == 0
 
 
 def test_dynamics(spark):
@@ -142,6 +142,6 @@ def test_left_merge(spark):
 def test_plan_reads_once_and_broadcasts(spark):
     docs = corpus(spark, "ядро лист")
     patterns = spark.createDataFrame([("ядро", 1), ("ядро лист", 2)], "pattern string, k int")
-    plan = M.count_hits(M.matches(W.analyzed(docs, ANALYZER), patterns), "segment")._jdf.queryExecution().executedPlan().toString()
+    plan = M.count_hits(M.matches(W.tokenized(docs), patterns, ANALYZER), "segment")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning(segment") == 1
     assert fold("cell") == "сеll"
