@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,7 +17,8 @@ def shipped(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parents[1]
     if (root / "lexweave").is_dir():  # else it was imported from an archive that Spark already sends
-        with tempfile.TemporaryDirectory() as folder:
-            shutil.copytree(root / "lexweave", f"{folder}/code/lexweave", ignore=shutil.ignore_patterns("__pycache__"))
-            context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/lexweave", "zip", f"{folder}/code"))
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the archive as long as it runs
+        shutil.copytree(root / "lexweave", f"{folder}/code/lexweave", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/lexweave", "zip", f"{folder}/code"))
     context._lexweave_shipped = True
