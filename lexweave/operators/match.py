@@ -85,17 +85,17 @@ def matches(
     begin = _starts(analyzer, longest, forms, allow_punct_between, reach, spans)
     counted = _words(analyzer) if totals else F.lit(0)
     # made before the explode, which would else copy the whole text to each of its rows
-    made = opened.select(*carry, counted.cast("bigint").alias("n_words"), begin.alias("starts"))
-    rows = made.select(*carry, "n_words", F.posexplode_outer("starts").alias("nr", "s"))
-    rows = rows.select(*carry, F.when(F.coalesce("nr", F.lit(0)) == 0, F.col("n_words")).alias("n_words"), "s.*")
+    made = opened.select(*carry, counted.cast("bigint").alias("_n_words"), begin.alias("_starts"))
+    rows = made.select(*carry, "_n_words", F.posexplode_outer("_starts").alias("_nr", "_s"))
+    rows = rows.select(*carry, F.when(F.coalesce("_nr", F.lit(0)) == 0, F.col("_n_words")).alias("_n_words"), "_s")
     if not totals:
-        rows = rows.where("at is not null")
-    token = lambda j: F.get("win", F.get("at", F.lit(j)) - F.col("low"))
-    named = rows.withColumns({f"_t{j}": token(j) for j in range(longest)})
+        rows = rows.where("_s is not null")
+    at, low, win, ends = (F.col(f"_s.{name}") for name in ("at", "low", "win", "ends"))
+    named = rows.withColumns({f"_t{j}": F.get(win, F.get(at, F.lit(j)) - low) for j in range(longest)})
     known = analyzer.with_lemmas(named, **{f"_w{j}": f"_t{j}" for j in range(longest)})
     lemma = lambda j: F.col(f"_w{j}.lemma")
-    here = F.get("at", F.lit(0)) - F.col("low")
-    hyphen = is_hyphen(F.get("win", here - 1), analyzer.tagger) | is_hyphen(F.get("win", here + 1), analyzer.tagger) | has_inner_hyphen(F.col("_t0"))
+    here = F.get(at, F.lit(0)) - low
+    hyphen = is_hyphen(F.get(win, here - 1), analyzer.tagger) | is_hyphen(F.get(win, here + 1), analyzer.tagger) | has_inner_hyphen(F.col("_t0"))
 
     def gram(k: int) -> Column:
         whole = lemma(0).isNotNull()
@@ -104,19 +104,18 @@ def matches(
         if k == 1 and disallow_hyphen_adjacent_for_unigrams:
             whole = whole & ~hyphen
         pattern = F.concat_ws(" ", *(lemma(j) for j in range(k)))
-        return F.when(whole, F.struct(F.lit(k).alias("k"), pattern.alias("pattern"), F.get("at", F.lit(k - 1)).alias("last_tok"), F.get("ends", F.lit(k - 1)).alias("end"), F.lit(1).cast("bigint").alias("weight")))
+        return F.when(whole, F.struct(F.lit(k).alias("k"), pattern.alias("pattern"), F.get(at, F.lit(k - 1)).alias("last_tok"), F.get(ends, F.lit(k - 1)).alias("end"), F.lit(1).cast("bigint").alias("weight")))
 
+    none = F.lit(None).cast("int")
     grams = [gram(k) for k in sorted(k for k, _ in lengths)]
     if totals:
-        none = F.lit(None).cast("int")
-        grams.append(F.when(F.col("n_words").isNotNull(), F.struct(F.lit(0).alias("k"), F.lit(TOTAL).alias("pattern"), none.alias("last_tok"), none.alias("end"), F.col("n_words").alias("weight"))))
+        grams.append(F.when(F.col("_n_words").isNotNull(), F.struct(F.lit(0).alias("k"), F.lit(TOTAL).alias("pattern"), none.alias("last_tok"), none.alias("end"), F.col("_n_words").alias("weight"))))
         distinct = distinct.unionByName(texts.sparkSession.createDataFrame([(TOTAL, 0)], "pattern string, k int"))
     if not grams:
-        return rows.where("false").select(*carry, F.lit(0).alias("k"), F.lit("").alias("pattern"), F.lit(0).alias("first_tok"), F.lit(0).alias("last_tok"), "low", "win", "start", F.lit(0).alias("end"), F.lit(1).cast("bigint").alias("weight"))
-    found = known.select(*carry, F.get("at", F.lit(0)).alias("first_tok"), "low", "win", "start", F.explode_outer(F.array(*grams)).alias("g")).where("g is not null")
-    side = F.broadcast(distinct) if size <= max_broadcast else distinct
-    hits = found.select(*carry, F.col("g.k").alias("k"), F.col("g.pattern").alias("pattern"), "first_tok", F.col("g.last_tok").alias("last_tok"), "low", "win", "start", F.col("g.end").alias("end"), F.col("g.weight").alias("weight"))
-    return hits.join(side, ["k", "pattern"], "left_semi").select(*carry, "k", "pattern", "first_tok", "last_tok", "low", "win", "start", "end", "weight")
+        grams = [F.when(F.lit(False), F.struct(F.lit(0).alias("k"), F.lit(TOTAL).alias("pattern"), none.alias("last_tok"), none.alias("end"), F.lit(1).cast("bigint").alias("weight")))]
+    found = known.select(*carry, "_s", F.explode_outer(F.array(*grams)).alias("_g")).where("_g is not null")
+    hits = found.select(*carry, "_g.k", "_g.pattern", F.get(at, F.lit(0)).alias("first_tok"), "_g.last_tok", "_s.low", "_s.win", "_s.start", "_g.end", "_g.weight")
+    return hits.join(F.broadcast(distinct) if size <= max_broadcast else distinct, ["k", "pattern"], "left_semi").select(*carry, "k", "pattern", "first_tok", "last_tok", "low", "win", "start", "end", "weight")
 
 
 def count_hits(hits: DataFrame, *by: str) -> DataFrame:

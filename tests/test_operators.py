@@ -145,3 +145,39 @@ def test_plan_reads_once_and_broadcasts(spark):
     plan = M.count_hits(M.matches(W.tokenized(docs), patterns, ANALYZER), "segment")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning(segment") == 1
     assert fold("cell") == "сеll"
+
+
+def test_offsets_of_long_texts(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ядро", "a", " ", "  ", "\n", "🙂", ",", "й", "25"]) for _ in range(n)) for n in (0, 1, 63, 64, 65, 128, 700)]
+    rows = W.token_table(corpus(spark, *texts), ANALYZER).collect()
+    norm = {r["doc_id"]: r["norm"] for r in W.tokenized(corpus(spark, *texts)).collect()}
+    assert len(rows) > 400 and all(norm[r["doc_id"]][r["start"] : r["end"]] == r["text"] for r in rows)
+    by: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["tok_idx"])):
+        by.setdefault(r["doc_id"], []).append(r)
+    for own in by.values():
+        assert [r["tok_idx"] for r in own] == list(range(len(own))) and all(a["end"] <= b["start"] for a, b in zip(own, own[1:]))
+    patterns = spark.createDataFrame([("ядро", 1), ("ядро ядро", 2)], "pattern string, k int")
+    for soft in (False, True):
+        hits = M.matches(W.tokenized(corpus(spark, *texts), offsets=True), patterns, ANALYZER, spans=True, allow_punct_between=soft).collect()
+        assert hits and all((h["start"], h["end"]) == (by[h["doc_id"]][h["first_tok"]]["start"], by[h["doc_id"]][h["last_tok"]]["end"]) for h in hits)
+
+
+def test_counts_and_totals_read_texts_once(spark, tmp_path):
+    docs = corpus(spark, "ядро лист, ядро", "", None, "и в 25")
+    docs.write.parquet(str(tmp_path / "docs"))
+    patterns = spark.createDataFrame([("ядро", 1), ("лист ядро", 2)], "pattern string, k int")
+    counts, totals = M.counts_and_totals(W.tokenized(spark.read.parquet(str(tmp_path / "docs"))), patterns, ANALYZER)
+    both = counts.join(totals, "segment")
+    assert [tuple(r) for r in both.collect()] == [("s", "ядро", 2, 3)]
+    final = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
+
+
+def test_log_order(spark):
+    texts = ["лист ядро лист", "ядро лист ядро лист"]
+    hits = M.matches(W.tokenized(corpus(spark, *texts)), spark.createDataFrame([("ядро", 1), ("лист", 1), ("ядро лист", 2)], "pattern string, k int"), ANALYZER, around=3)
+    terms = spark.createDataFrame([("ядро", "ядро")], "pattern string, terms string")
+    log = K.in_log_order(K.context_log(K.contexts(hits, window=3, cap=2), terms)).collect()
+    assert [(r["pattern"], r["doc_id"], r["start_tok_idx"], r["match_no"]) for r in log] == [("лист", 0, 0, 1), ("лист", 0, 2, 2), ("ядро", 0, 1, 1), ("ядро", 1, 0, 2), ("ядро лист", 0, 1, 1), ("ядро лист", 1, 0, 2)]
