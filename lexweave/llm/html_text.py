@@ -6,7 +6,7 @@ Marks hide whole class, id and role tokens, but never html, body, main, article
 text; a page of nothing but marked elements is read without marks. The ratios are smoothed with a Gaussian kernel, and a threshold between the two clusters of the smoothed ratios marks
 the lines that are surely content. The content region is the smallest sectioning element that holds all these lines,
 widened to the article or main element around it, if there is one; every line of the region that is not boilerplate is
-text, however short.
+text, however short. Runs of lines that are links only and mostly below the threshold are menus, marked or not.
 
 Edge cases: null, empty and text-free pages give an empty text; broken markup (unclosed elements, cut character
 references, a page that ends anywhere) is read as far as it goes, in memory that grows in line with the page however
@@ -31,6 +31,9 @@ from lexweave.llm.common import map_batches
 #: Characters of a page given to the parser at once.
 CHUNK = 1 << 16
 
+#: Lines of links in a row that make a menu.
+MENU = 3
+
 #: Width of the Gaussian kernel in lines.
 SIGMA = 1.0
 
@@ -66,6 +69,7 @@ class Line:
     hidden: bool
     mark: int
     section: int
+    linked: bool
 
 
 @dataclass
@@ -88,6 +92,9 @@ class Lines(HTMLParser):
         self.count: Counter[str] = Counter()
         self.data: list[str] = []
         self.tags = 0
+        #: Whether a link is open that began in this line, and the characters of such links.
+        self.in_link = False
+        self.linked = 0
         #: For each sectioning element in the order of their starts (0: the page) the one around it.
         self.outer: list[int] = [0]
         self.articles: set[int] = set()
@@ -97,15 +104,17 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.data).split())
         self.data.clear()
+        linked, self.linked, self.in_link = self.linked, 0, False
         if text:
             top = self.open[-1]
-            self.lines.append(Line(text, max(1, self.tags), top.hidden, top.mark, top.section))
+            self.lines.append(Line(text, max(1, self.tags), top.hidden, top.mark, top.section, linked >= len(text.replace(" ", ""))))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._end_line()
         self.tags += 1
+        self.in_link = self.in_link or tag == "a"
         if tag in VOID:
             return
         if tag in _CLOSES:
@@ -167,6 +176,7 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._end_line()
         self.tags += 1
+        self.in_link = self.in_link and tag != "a"
         if not self.count[tag]:
             return
         for i in range(len(self.open) - 1, 0, -1):
@@ -178,6 +188,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.data.append(data)
+        if self.in_link:
+            self.linked += len("".join(data.split()))
 
     def close(self) -> None:
         super().close()
@@ -228,6 +240,18 @@ def hide_marked(page: Lines) -> None:
         line.hidden = line.hidden or hides[line.mark]
 
 
+def hide_menus(lines: list[Line], ratios: list[float], border: float) -> None:
+    """Hide the lines of menus without a mark: MENU or more in a row that are links only, most of them in the low cluster of
+    ratios (content beside a menu lifts the lines at its ends)."""
+    start = 0
+    for end in range(len(lines) + 1):
+        if end == len(lines) or not lines[end].linked:
+            if end - start >= MENU and 2 * sum(r < border for r in ratios[start:end]) > end - start:
+                for line in lines[start:end]:
+                    line.hidden = True
+            start = end + 1
+
+
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     """Values under a normalised Gaussian kernel of three sigma."""
     reach = math.ceil(3 * sigma)
@@ -270,7 +294,8 @@ def main_text(html: str | None) -> str:
     ratios = smoothed([0.0 if line.hidden else math.log1p(len(line.text) / line.tags) for line in lines])
     border = threshold([r for r, line in zip(ratios, lines) if not line.hidden])
     region = region_of([line.section for r, line in zip(ratios, lines) if not line.hidden and r >= border], page)
-    return "\n".join(line.text for line in visible if line.section in region)
+    hide_menus(lines, ratios, border)
+    return "\n".join(line.text for line in visible if not line.hidden and line.section in region)
 
 
 def extract(pages: DataFrame) -> DataFrame:

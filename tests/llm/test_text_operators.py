@@ -468,6 +468,15 @@ def test_html_marks_do_not_hide_the_page():
     assert html_text.main_text(f'<body><div class="header-bar"><p>{advert}</p></div><article><p>{text}</p></article></body>') == want
 
 
+def test_html_menus_without_marks():
+    text, links = "a long sentence of text. " * 40, "".join(f"<div><a href={i}>Page {i}</a></div>" for i in range(6))
+    want = text.strip()
+    assert html_text.main_text(f"<body>{links}<p>{text}</p>{links}</body>") == want
+    assert html_text.main_text(f"<body><article><h1>Title</h1><ul>{links}</ul><p>{text}</p><p><a>One link</a></p><p>end</p></article></body>") == f"Title\n{want}\nOne link\nend"
+    unclosed = f"<body><article><p><a href=x>{text}</p><p>{text}</p><p>short</p><p>shorter</p><p>a</p></article></body>"
+    assert html_text.main_text(unclosed) == f"{want}\n{want}\nshort\nshorter\na"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>text</p></article>", 1), (1, "u", None, 2), (None, None, "<p>" * 3000 + "deep", 3)], "page_id bigint, url string, html string, n_chars int")
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()] == [(1, "text", 4), (1, "", 0), (None, "deep", 4)]
