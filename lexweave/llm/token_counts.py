@@ -1,7 +1,7 @@
 """Token counts by dynamic programming over a trie.
 
-A text is cut at white space into pre-tokens, each with the mark that stands for the space before it. The distinct
-pre-tokens go into a trie. A node stands for a prefix and holds the forward score of its best segmentation into pieces
+A text, with a space put before it and spaces written as marks, is cut into pre-tokens that tile it: a word with the
+marks before it, marks that no word follows, and other white space. The distinct pre-tokens go into a trie. A node stands for a prefix and holds the forward score of its best segmentation into pieces
 of the vocabulary (the largest sum of unigram scores) and the number of those pieces; it is computed once, from the
 nodes above it, for all pre-tokens that share the prefix. The node at which a pre-token ends holds its count, and a text
 has the sum of the counts of its pre-tokens.
@@ -10,7 +10,7 @@ The vocabulary is a sentencepiece model, read on the driver and broadcast (its s
 a unigram model are used as they are. A BPE model has ranks instead of scores; its pieces get the logarithm of the
 probability that Zipf's law gives their rank. Characters without a piece count as their bytes.
 
-Edge cases: null and empty texts and texts of white space have no tokens; a pre-token beyond MAX_WORD characters is
+Edge cases: null and empty texts have no tokens; white space counts like any other characters; a pre-token beyond MAX_WORD characters is
 scored in the same way outside the trie, so no text fills it; rows are independent, so repeated rows and ties change
 nothing (equal scores: fewer pieces); extra columns are ignored; an empty table gives an empty result.
 """
@@ -18,6 +18,7 @@ nothing (equal scores: fewer pieces); extra columns are ignored; an empty table
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ from lexweave.llm.common import map_batches
 #: The mark of a space before a pre-token (fixed value of the format).
 SPACE = "▁"
 
+PRETOKEN = re.compile(rf"{SPACE}*[^{SPACE}\s]+|{SPACE}+|\s+")
+
 #: Nodes of a worker's trie, at most; it is then begun anew. Characters of the longest pre-token that goes into it.
 MAX_NODES, MAX_WORD = 1_000_000, 256
 
@@ -36,6 +39,10 @@ MAX_NODES, MAX_WORD = 1_000_000, 256
 BYTE_SCORE = -12.0
 
 
+def pretokens(text: str | None) -> list[str]:
+    return PRETOKEN.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
 def vocabulary(path: str) -> dict[str, float]:
     """Pieces and their unigram scores; control, unknown, byte and unused pieces are left out."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -110,7 +117,7 @@ class Counts(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MAX_NODES // 4:
             self.clear()
-        value = self[word] = self.trie.count(SPACE + word)
+        value = self[word] = self.trie.count(word)
         return value
 
 
@@ -121,7 +128,7 @@ def count_tokens(documents: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(ForwardTrie(shared.value))
         for batch in batches:
-            words = [(text or "").split() for text in batch.column("text").to_pylist()]
+            words = [pretokens(text) for text in batch.column("text").to_pylist()]
             found = [sum(map(counts.__getitem__, own)) for own in words]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, words), pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 

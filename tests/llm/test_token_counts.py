@@ -24,10 +24,12 @@ def brute(word, scores):
 def test_counts_against_brute_force(spark, monkeypatch):
     scores, rng = T.vocabulary(PATH), random.Random(1)
     texts = [" ".join("".join(rng.choice("thereinga") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 40))) for _ in range(40)]
-    texts += [None, "", " \n ", "漢字🙂 é", "x" * 700, texts[0]]
+    texts += [None, "", " \n ", "漢字🙂 é", "x" * 700, texts[0], "a\n\nb  c\td ▁ ", "    indent\r\n"]
     df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id bigint, text string, n_tokens string")
     got = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in T.count_tokens(df, PATH).collect()}
-    assert got == {i: (len((t or "").split()), sum(brute(T.SPACE + w, scores) for w in (t or "").split())) for i, t in enumerate(texts)}
+    assert got == {i: (len(T.pretokens(t)), sum(brute(w, scores) for w in T.pretokens(t))) for i, t in enumerate(texts)}
+    assert all("".join(T.pretokens(t)) == (T.SPACE + t.replace(" ", T.SPACE) if t else "") for t in texts)
+    assert T.pretokens("a\n\nb  c") == ["▁a", "\n\n", "b", "▁▁c"]
     assert T.count_tokens(df.where("false"), PATH).count() == 0
     monkeypatch.setattr(T, "MAX_NODES", 20)
     trie = T.ForwardTrie(scores)
