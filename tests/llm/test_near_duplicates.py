@@ -178,3 +178,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {i: r["text"] for i, r in got.items()} == docs
     assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in got.values())
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_over_odd_tables(spark, tmp_path):
+    """No rows at all; then repeated and null ids, null columns and columns named like those of the stages."""
+    import corpus_pipeline
+
+    benchmark = spark.createDataFrame([], "item_id bigint, text string")
+    for name in ("none", "odd"):
+        benchmark.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "none/documents.parquet"))
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "text"]
+    a, b = (" ".join(f"{c}{i}" for i in range(70)) for c in "ab")
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (2, b, None, None), (2, a, "en", "s"), (None, b + " more", "en", None), (None, None, None, None), (3, b, "en", "s"), (4, "", "en", "s")]
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCS)
+    for name in ("row", "maybe", "n", "n_words", "kept", "spans", "component_id", "x"):
+        df = df.selectExpr("*", f"'{name}' AS {name}")
+    df.write.parquet(str(tmp_path / "odd/documents.parquet"))
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect())
+    assert got == [(0, b + " more"), (1, a)]  # 1, 2 and 3 are one group; a row without an id stays
+    kept = corpus_pipeline.near_duplicates(spark, df, str(tmp_path / "odd"))
+    assert kept.dtypes == df.dtypes and kept.count() == 4
