@@ -73,26 +73,30 @@ def matches(
     """
     carry = carry or ("doc_id", "segment")
     distinct = patterns.where(F.col("pattern") != TOTAL).select("pattern", F.col("k").cast("int").alias("k")).distinct()
-    lengths = [tuple(r) for r in distinct.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row for each length
-    size, longest = sum(n for _, n in lengths), max((k for k, _ in lengths), default=1)
-    forms: list[str] | None = [] if not size else None
-    if 0 < size <= MAX_FIRST_FORMS:
-        first = {r[0] for r in distinct.select(F.split("pattern", " ")[0]).collect()}
+    known = [tuple(r) for r in distinct.limit(MAX_FIRST_FORMS + 1).collect()]
+    forms: list[str] | None = None
+    if len(known) <= MAX_FIRST_FORMS:  # a small dictionary is made once, not in each stage that asks for it
+        distinct, size, ks = texts.sparkSession.createDataFrame(known, distinct.schema), len(known), sorted({k for _, k in known})
+        first = {pattern.split(" ")[0] for pattern, _ in known}
         if not any(" " in v for v in analyzer.replacements.values()) and all(first):
-            forms = analyzer.surfaces(sorted(first), MAX_FIRST_FORMS)
+            forms = analyzer.surfaces(sorted(first), MAX_FIRST_FORMS) if known else []
+    else:
+        counted = distinct.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length
+        size, ks = sum(r["n"] for r in counted), sorted(r["k"] for r in counted)
+    longest = max(ks, default=1)
     reach = max(1, around)
     opened = texts.withColumn("open", _open(analyzer)) if allow_punct_between else texts
     begin = _starts(analyzer, longest, forms, allow_punct_between, reach, spans)
-    counted = _words(analyzer) if totals else F.lit(0)
+    n_words = _words(analyzer) if totals else F.lit(0)
     # made before the explode, which would else copy the whole text to each of its rows
-    made = opened.select(*carry, counted.cast("bigint").alias("_n_words"), begin.alias("_starts"))
+    made = opened.select(*carry, n_words.cast("bigint").alias("_n_words"), begin.alias("_starts"))
     rows = made.select(*carry, "_n_words", F.posexplode_outer("_starts").alias("_nr", "_s"))
     rows = rows.select(*carry, F.when(F.coalesce("_nr", F.lit(0)) == 0, F.col("_n_words")).alias("_n_words"), "_s")
     if not totals:
         rows = rows.where("_s is not null")
     at, low, win, ends = (F.col(f"_s.{name}") for name in ("at", "low", "win", "ends"))
     named = rows.withColumns({f"_t{j}": F.get(win, F.get(at, F.lit(j)) - low) for j in range(longest)})
-    known = analyzer.with_lemmas(named, **{f"_w{j}": f"_t{j}" for j in range(longest)})
+    lemmas = analyzer.with_lemmas(named, **{f"_w{j}": f"_t{j}" for j in range(longest)})
     lemma = lambda j: F.col(f"_w{j}.lemma")
     here = F.get(at, F.lit(0)) - low
     hyphen = is_hyphen(F.get(win, here - 1), analyzer.tagger) | is_hyphen(F.get(win, here + 1), analyzer.tagger) | has_inner_hyphen(F.col("_t0"))
@@ -107,13 +111,13 @@ def matches(
         return F.when(whole, F.struct(F.lit(k).alias("k"), pattern.alias("pattern"), F.get(at, F.lit(k - 1)).alias("last_tok"), F.get(ends, F.lit(k - 1)).alias("end"), F.lit(1).cast("bigint").alias("weight")))
 
     none = F.lit(None).cast("int")
-    grams = [gram(k) for k in sorted(k for k, _ in lengths)]
+    grams = [gram(k) for k in ks]
     if totals:
         grams.append(F.when(F.col("_n_words").isNotNull(), F.struct(F.lit(0).alias("k"), F.lit(TOTAL).alias("pattern"), none.alias("last_tok"), none.alias("end"), F.col("_n_words").alias("weight"))))
         distinct = distinct.unionByName(texts.sparkSession.createDataFrame([(TOTAL, 0)], "pattern string, k int"))
     if not grams:
         grams = [F.when(F.lit(False), F.struct(F.lit(0).alias("k"), F.lit(TOTAL).alias("pattern"), none.alias("last_tok"), none.alias("end"), F.lit(1).cast("bigint").alias("weight")))]
-    found = known.select(*carry, "_s", F.explode_outer(F.array(*grams)).alias("_g")).where("_g is not null")
+    found = lemmas.select(*carry, "_s", F.explode_outer(F.array(*grams)).alias("_g")).where("_g is not null")
     hits = found.select(*carry, "_g.k", "_g.pattern", F.get(at, F.lit(0)).alias("first_tok"), "_g.last_tok", "_s.low", "_s.win", "_s.start", "_g.end", "_g.weight")
     return hits.join(F.broadcast(distinct) if size <= max_broadcast else distinct, ["k", "pattern"], "left_semi").select(*carry, "k", "pattern", "first_tok", "last_tok", "low", "win", "start", "end", "weight")
 
