@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 Base patterns find email addresses, IP addresses, card and phone numbers exactly. Looser patterns propose further
-candidates: other notations of these kinds, social security numbers and credentials. Labelers vote on each candidate
+candidates: other notations of these kinds, such numbers beside other digits, social security numbers and credentials. Labelers vote on each candidate
 for, against or not at all: how strict its pattern is, a checksum or range test, gazetteers (top-level domains, card
 issuers, names of keys), the words before it, words that speak against it, and whether it stands alone. Expectation
 maximisation over the counts of vote patterns estimates for each kind how common true spans are and how reliable each
@@ -43,15 +43,26 @@ CARD = re.compile(r"(?<![0-9])[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-# Patterns of further candidates: kind, strings of which each match holds one (a text without them is not searched), pattern.
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = ord(c) - 48
+        total += n if i % 2 == 0 else n * 2 - 9 * (n > 4)
+    return total % 10 == 0
+
+
+# Patterns of further candidates: kind, strings of which each match holds one (a text without them is not searched), pattern,
+# and what a match has to pass.
 LOOSE = (
-    ("email", ("(at)", "[at]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++")),
-    ("ip", (":",), re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
-    ("phone", tuple("0123456789"), re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-.][0-9]{4}(?![0-9-])")),
-    ("card", tuple("0123456789"), re.compile(r"(?<![0-9-])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9-])")),
-    ("ssn", tuple("0123456789"), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("secret", ("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
-    ("secret", ("=", ":"), re.compile(r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?\"?([A-Za-z0-9+/_.~-]{6,}+)")),
+    ("email", ("(at)", "[at]"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++"), bool),
+    ("ip", (":",), re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), bool),
+    ("phone", tuple("0123456789"), re.compile(r"(?<![0-9+(-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-.][0-9]{4}(?![0-9-])"), bool),
+    ("card", tuple("0123456789"), re.compile(r"(?<![0-9-])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9-])"), bool),
+    ("card", tuple("0123456789"), re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"), luhn),
+    ("ssn", tuple("0123456789"), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), bool),
+    ("secret", ("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"), bool),
+    ("secret", ("=", ":"), re.compile(r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?\"?([A-Za-z0-9+/_.~-]{6,}+)"), bool),
 )
 
 # Gazetteers (fixed values).
@@ -75,14 +86,6 @@ LABELERS = ("pattern", "test", "gazetteer", "context", "against", "alone")
 SHAPES = ("short", "long", "digits", "letters", "capitals", "separators", "quoted", "line_start")
 
 
-def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        n = ord(c) - 48
-        total += n if i % 2 == 0 else n * 2 - 9 * (n > 4)
-    return total % 10 == 0
-
-
 def octets(text: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in text.split("."))
 
@@ -130,9 +133,9 @@ def candidates(text: str | None) -> list[tuple[str, int, int, bool, str, str]]:
     found: dict[str, list[tuple[int, int, bool]]] = {}
     for kind, a, b in base_spans(text):
         found.setdefault(kind, []).append((a, b, True))
-    for kind, needs, pattern in LOOSE:
+    for kind, needs, pattern, passes in LOOSE:
         if any(need in text for need in needs):
-            spans = (m.span(1) if kind == "secret" and m.re.groups else m.span() for m in pattern.finditer(text))
+            spans = (m.span(1) if kind == "secret" and m.re.groups else m.span() for m in pattern.finditer(text) if passes(m[0]))
             known = found.get(kind, [])
             if new := apart(spans, known):
                 found[kind] = sorted([*known, *((a, b, False) for a, b in new)])
@@ -206,20 +209,23 @@ def inputs(kind: str, votes: str, shape: str) -> np.ndarray:
 
 def expectation_maximisation(patterns: list[tuple[str, float]], rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
     """patterns: (votes, count) of one kind. Prior, reliabilities (labeler, truth, vote) and the probability of each
-    pattern to be true. Starts from the majority of votes; counts are smoothed towards labelers better than chance."""
+    pattern to be true. Starts from the majority of votes; counts are smoothed towards labelers better than chance.
+
+    A labeler that does not vote says nothing: it abstains as often on true candidates as on false ones. Otherwise a rare
+    pattern would be a class of its own for no more than its abstentions."""
     n = np.array([c for _, c in patterns])
     vote = np.array([["+0-".index(v) for v in votes] for votes, _ in patterns])
     p = np.clip(0.5 + ((vote == 0).sum(axis=1) - 2.0 * (vote == 2).sum(axis=1)) / (2.0 * vote.shape[1]), 0.05, 0.95)
-    smooth = np.array([[2.0, 2.0, 0.5], [0.5, 2.0, 2.0]])
+    smooth = np.array([[2.0, 0.5], [0.5, 2.0]])
     for _ in range(rounds):
         prior = float(((n * p).sum() + 1) / (n.sum() + 2))
         rates = np.empty((vote.shape[1], 2, 3))
         for j in range(vote.shape[1]):
-            for v in range(3):
-                at = vote[:, j] == v
-                rates[j, 0, v] = (n[at] * p[at]).sum() + smooth[0, v]
-                rates[j, 1, v] = (n[at] * (1 - p[at])).sum() + smooth[1, v]
-        rates /= rates.sum(axis=2, keepdims=True)
+            silent = float((n[vote[:, j] == 1].sum() + 1) / (n.sum() + 2))
+            for truth, weight in enumerate((p, 1 - p)):
+                cast = np.array([(n * weight)[vote[:, j] == v].sum() for v in (0, 2)]) + smooth[truth]
+                rates[j, truth, [0, 2]] = (1 - silent) * cast / cast.sum()
+                rates[j, truth, 1] = silent
         like = [np.log(rates[np.arange(vote.shape[1]), truth, :][np.arange(vote.shape[1]), vote]).sum(axis=1) for truth in (0, 1)]
         odds = np.log(prior / (1 - prior)) + like[0] - like[1]
         p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
@@ -254,7 +260,12 @@ def pattern_counts(documents: DataFrame) -> DataFrame:
 def fit(documents: DataFrame) -> SpanModel:
     """Reliabilities and span classifier from all texts. Only counts reach the driver, of at most
     len(KINDS) * 3 ** len(LABELERS) * 2 ** len(SHAPES) patterns, in practice some dozens."""
-    counts = sorted((r["kind"], r["votes"], r["shape"], float(r["n"])) for r in pattern_counts(documents).collect())
+    return learnt([(r["kind"], r["votes"], r["shape"], float(r["n"])) for r in pattern_counts(documents).collect()])
+
+
+def learnt(counts: list[tuple[str, str, str, float]]) -> SpanModel:
+    """The model from (kind, votes, shape, count), in any order."""
+    counts = sorted(counts)
     priors: dict[str, float] = {}
     reliabilities: dict[str, np.ndarray] = {}
     truth: dict[tuple[str, str], float] = {}

@@ -359,6 +359,29 @@ def test_credentials_need_no_digit():
     assert personal_data.candidates("no such thing, at all: none = none") == []
 
 
+def fitted(texts):
+    counts = Counter((kind, votes, shape) for text in texts for kind, _, _, _, votes, shape in personal_data.candidates(text))
+    return personal_data.learnt([(*key, float(n)) for key, n in counts.items()])
+
+
+def test_numbers_beside_other_digits_are_found():
+    """Base patterns run on into digits behind a number and then fail; the number itself is a candidate."""
+    alone = [f"call +1 (269) 555-{i:04d} now" for i in range(300)] + [f"paid by {n} today" for n in ("4111111111111111", "5500005555555559") for _ in range(100)]
+    beside = "an +1 (269) 555-3296 4111111111111111 and"
+    others = "x ab4111111111111112cd or 4111111111111112 y"
+    assert personal_data.base_spans(beside) == brute_spans(beside) == []
+    model = fitted([*alone, beside, others])
+    assert [(k, beside[a:b]) for k, a, b, *_ in personal_data.final_spans(beside, model)] == [("card", "4111111111111111"), ("phone", "+1 (269) 555-3296")]
+    assert personal_data.redacted(beside, personal_data.final_spans(beside, model)) == "an [PHONE] [CARD] and"
+    assert personal_data.final_spans(others, model) == []
+
+
+def test_labelers_that_do_not_vote_say_nothing():
+    _, rates, p = personal_data.expectation_maximisation([("+++00+", 1200.0), ("0++00+", 11.0), ("0--0-+", 30.0)])
+    assert (rates[:, 0, 1] == rates[:, 1, 1]).all() and np.allclose(rates.sum(axis=2), 1)
+    assert p[0] > 0.95 and p[1] > 0.9 and p[2] < 0.1
+
+
 def test_span_classifier_heeds_rare_patterns():
     x, y = np.array([[1.0, 0.0], [1.0, 1.0]]), np.array([0.99, 0.01])
     for common in (100.0, 1e5, 1e9):
