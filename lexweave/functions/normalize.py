@@ -19,7 +19,8 @@ LATIN = "ABCEHKMOPTXYabcehkmoptxy"
 CYRILLIC = "АВСЕНКМОРТХУавсенкмортху"
 YO, YO_FOLDED = "ёЁ", "еЕ"
 DIGITS, DIGIT_LETTERS = "06", "Об"
-WORD_INITIAL_THREE = r"(?U)\b3"
+#: A 3 that no letter, number or underscore stands before (a mark may).
+WORD_INITIAL_THREE = r"(?<![\p{L}\p{N}_])3"
 THREE_LETTER = "З"
 
 #: Soft hyphen, zero-width space, non-joiner and joiner, word joiner (fixed values).

@@ -20,7 +20,7 @@ def test_accents(spark):
 
 
 def test_letters(spark):
-    assert one(spark, ["2016", "13", "30 306", "Ёж"], N.replace_letters) == ["2О1б", "13", "ЗО ЗОб", "Еж"]
+    assert one(spark, ["2016", "13", "30 306", "Ёж", "\u03013", "é3 _3 ²3 -33"], N.replace_letters) == ["2О1б", "13", "ЗО ЗОб", "Еж", "\u0301З", "é3 _3 ²3 -З3"]
 
 
 def test_order_of_invisible(spark):
